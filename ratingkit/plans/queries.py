@@ -42,3 +42,217 @@ def q_items(spark, d):
 @register("rmse_by_fold", flagship.ORACLE)
 def q_rmse_by_fold(spark, d):
     return flagship.oof_severity_rmse(_train(spark, d))
+
+
+# ---------------------------------------------------------------- helpers
+
+def round_floats(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every floating column once, at the end, so engines agree on the last bits."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("double", "float")
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+TE_AGGS = ["mean", "sum", "count", "std", "min", "max"]
+TE_SPEC = {("user_id", "score"): TE_AGGS, ("item_id", "score"): TE_AGGS}
+
+
+def _te_sql(key: str, src: str, extra_group: str = "", digits: int | None = 6) -> str:
+    g = f", {extra_group}" if extra_group else ""
+
+    def r(e: str) -> str:
+        return f"round({e}, {digits})" if digits is not None else e
+    return (f"SELECT {key}{g}, {r('avg(score)')} AS te_{key}_mean_score, CAST(sum(score) AS BIGINT) AS te_{key}_sum_score, "
+            f"count(score) AS te_{key}_count_score, {r('stddev_samp(score)')} AS te_{key}_std_score, "
+            f"min(score) AS te_{key}_min_score, max(score) AS te_{key}_max_score FROM {src} GROUP BY {key}{g}")
+
+
+FOLD_SQL = """f AS (SELECT user_id, item_id, score,
+   CAST((row_number() OVER (PARTITION BY score ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR))), user_id, item_id) - 1) % 5 AS INT) AS fold
+   FROM pairs WHERE split = 'train')"""
+
+
+# ---------------------------------------------------------------- A1, W1, W3, A6, A13
+
+@register("user_stats", """
+SELECT user_id, avg(score) AS user_score_mean, count(score) AS user_score_count,
+       round(stddev_samp(score), 6) AS user_score_std, max(score) AS user_score_max, min(score) AS user_score_min
+FROM pairs WHERE split = 'train' GROUP BY user_id""")
+def q_user_stats(spark, d):
+    return round_floats(stats.key_stats(_train(spark, d), "user_id", "score", prefix="user"))
+
+
+@register("item_stats", """
+SELECT item_id, avg(score) AS item_score_mean, count(score) AS item_score_count,
+       round(stddev_samp(score), 6) AS item_score_std, max(score) AS item_score_max, min(score) AS item_score_min
+FROM pairs WHERE split = 'train' GROUP BY item_id""")
+def q_item_stats(spark, d):
+    return round_floats(stats.key_stats(_train(spark, d), "item_id", "score", prefix="item"))
+
+
+@register("window_stats", """
+SELECT user_id, item_id, score,
+  round(avg(score) OVER (PARTITION BY user_id), 6) AS user_score_mean, min(score) OVER (PARTITION BY user_id) AS user_score_min,
+  max(score) OVER (PARTITION BY user_id) AS user_score_max, round(stddev_samp(score) OVER (PARTITION BY user_id), 6) AS user_score_std,
+  count(score) OVER (PARTITION BY user_id) AS user_score_count,
+  round(avg(score) OVER (PARTITION BY item_id), 6) AS item_score_mean, min(score) OVER (PARTITION BY item_id) AS item_score_min,
+  max(score) OVER (PARTITION BY item_id) AS item_score_max, round(stddev_samp(score) OVER (PARTITION BY item_id), 6) AS item_score_std,
+  count(score) OVER (PARTITION BY item_id) AS item_score_count
+FROM pairs WHERE split = 'train'""")
+def q_window_stats(spark, d):
+    return round_floats(stats.window_stats(_train(spark, d), ["user_id", "item_id"], "score",
+                                           prefixes={"user_id": "user", "item_id": "item"}))
+
+
+@register("value_counts", """
+SELECT item_id, count(*) AS counts FROM pairs GROUP BY item_id""")
+def q_value_counts(spark, d):
+    return fx.pairs(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("counts"))
+
+
+@register("user_count_histogram", """
+WITH c AS (SELECT user_id, count(*) AS cnt FROM pairs WHERE split = 'train' GROUP BY user_id),
+b AS (SELECT CAST(min(cnt) AS DOUBLE) AS lo, CAST(max(cnt) AS DOUBLE) AS hi FROM c),
+w AS (SELECT lo, hi, CASE WHEN hi > lo THEN (hi - lo) / 300 ELSE 1.0 END AS width FROM b)
+SELECT CAST(least(greatest(floor((CAST(cnt AS DOUBLE) - lo) / width), 0), 299) AS INT) AS bin, count(*) AS count,
+       round(min(lo) + CAST(least(greatest(floor((CAST(cnt AS DOUBLE) - lo) / width), 0), 299) AS INT) * min(width), 6) AS bin_lo,
+       round(min(lo) + (CAST(least(greatest(floor((CAST(cnt AS DOUBLE) - lo) / width), 0), 299) AS INT) + 1) * min(width), 6) AS bin_hi
+FROM c, w GROUP BY 1""")
+def q_user_count_histogram(spark, d):
+    from ..operators.evaluate import histogram
+    counts = stats.count_over(_train(spark, d), "user_id").select("user_id", "cnt").distinct()
+    return round_floats(histogram(counts, "cnt", bins=300))
+
+
+# ---------------------------------------------------------------- A2, A3, A4, A5, SEV1
+
+@register("target_encoding", f"""
+WITH t AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
+e AS (SELECT * FROM t WHERE user_id IN (SELECT user_id FROM t GROUP BY user_id HAVING count(*) >= 5)),
+u AS ({_te_sql('user_id', 'e')}), i AS ({_te_sql('item_id', 'e')})
+SELECT p.user_id, p.item_id, u.* EXCLUDE (user_id), i.* EXCLUDE (item_id)
+FROM pairs p LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN i ON i.item_id = p.item_id WHERE p.split = 'test'""")
+def q_target_encoding(spark, d):
+    model = stats.TargetEncoder(TE_SPEC, min_count=5).fit(_train(spark, d))
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    return round_floats(model.transform(test))
+
+
+def _oof_sql(digits: int | None) -> str:
+    return f"""
+WITH {FOLD_SQL},
+ut AS (SELECT user_id, count(*) AS tot FROM f GROUP BY user_id),
+uk AS (SELECT user_id, fold, count(*) AS c FROM f GROUP BY user_id, fold),
+elig AS (SELECT ut.user_id, k.k FROM ut CROSS JOIN (SELECT range AS k FROM range(5)) k
+         LEFT JOIN uk ON uk.user_id = ut.user_id AND uk.fold = k.k WHERE ut.tot - coalesce(uk.c, 0) >= 5),
+x AS (SELECT f.user_id, f.item_id, f.score, elig.k AS fit FROM f JOIN elig ON f.user_id = elig.user_id AND f.fold <> elig.k),
+u AS ({_te_sql('user_id', 'x', 'fit', digits)}), i AS ({_te_sql('item_id', 'x', 'fit', digits)}),
+enc AS (SELECT f.user_id, f.item_id, f.fold, u.* EXCLUDE (user_id, fit), i.* EXCLUDE (item_id, fit)
+        FROM f LEFT JOIN u ON u.user_id = f.user_id AND u.fit = f.fold LEFT JOIN i ON i.item_id = f.item_id AND i.fit = f.fold)
+"""
+
+
+def _oof(spark, d):
+    folded = folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42)
+    enc, tables = stats.oof_target_encode(folded, TE_SPEC, "fold", 5, 5, "user_id")
+    return enc, tables
+
+
+@register("oof_encoding", _oof_sql(6) + "SELECT * FROM enc")
+def q_oof_encoding(spark, d):
+    enc, _ = _oof(spark, d)
+    return round_floats(enc.drop("score"))
+
+
+@register("oof_to_test", _oof_sql(None) + """,
+ia AS (SELECT item_id, round(avg(te_item_id_mean_score), 6) AS te_item_id_mean_score, round(avg(te_item_id_std_score), 6) AS te_item_id_std_score FROM enc GROUP BY item_id),
+ua AS (SELECT user_id, round(avg(te_user_id_mean_score), 6) AS te_user_id_mean_score, round(avg(te_user_id_std_score), 6) AS te_user_id_std_score FROM enc GROUP BY user_id)
+SELECT p.user_id, p.item_id, ia.te_item_id_mean_score, ia.te_item_id_std_score, ua.te_user_id_mean_score, ua.te_user_id_std_score
+FROM pairs p LEFT JOIN ia ON ia.item_id = p.item_id LEFT JOIN ua ON ua.user_id = p.user_id WHERE p.split = 'test'""")
+def q_oof_to_test(spark, d):
+    enc = _oof(spark, d)[0]
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    for key in ("item_id", "user_id"):
+        cols = [f"te_{key}_mean_score", f"te_{key}_std_score"]
+        test = test.join(stats.oof_mean_by_key(enc, key, cols), key, "left")
+    return round_floats(test)
+
+
+@register("mean_encoder", """
+WITH t AS (SELECT p.user_id, p.item_id, p.score, i.type, i.source FROM pairs p JOIN items i ON i.item_id = p.item_id WHERE p.split = 'train'),
+mt AS (SELECT type, avg(score) AS m FROM t GROUP BY type), ms AS (SELECT source, avg(score) AS m FROM t GROUP BY source)
+SELECT p.user_id, p.item_id, round(mt.m, 6) AS type, round(ms.m, 6) AS source
+FROM pairs p JOIN items i ON i.item_id = p.item_id LEFT JOIN mt ON mt.type = i.type LEFT JOIN ms ON ms.source = i.source
+WHERE p.split = 'test'""")
+def q_mean_encoder(spark, d):
+    cat = fx.items(spark, d).select("item_id", "type", "source")
+    train = _train(spark, d).join(cat, "item_id")
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id").join(cat, "item_id")
+    enc = stats.MeanEncoder(["type", "source"], "score")
+    return round_floats(enc.transform_with(enc.fit(train), test))
+
+
+@register("severity", """
+WITH t AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
+e AS (SELECT * FROM t WHERE user_id IN (SELECT user_id FROM t GROUP BY user_id HAVING count(*) >= 5)),
+u AS (SELECT user_id, avg(score) AS um FROM e GROUP BY user_id), i AS (SELECT item_id, avg(score) AS im FROM e GROUP BY item_id),
+r AS (SELECT t.user_id, t.item_id, u.um, i.im FROM t LEFT JOIN u ON u.user_id = t.user_id LEFT JOIN i ON i.item_id = t.item_id),
+g AS (SELECT avg(im) AS mm FROM r)
+SELECT user_id, item_id, round(um, 6) AS te_user_id_mean_score, round(im, 6) AS te_item_id_mean_score,
+       round(mm, 6) AS user_anime_mean_mean, round(um - mm, 6) AS severity_scale,
+       round(im + (um - mm), 6) AS calibrated_anime_mean_score
+FROM r, g""")
+def q_severity(spark, d):
+    train = _train(spark, d)
+    spec = {("user_id", "score"): ["mean"], ("item_id", "score"): ["mean"]}
+    enc = stats.TargetEncoder(spec, 5).fit_transform(train).drop("score")
+    return round_floats(stats.severity_scale(enc, "te_item_id_mean_score", "te_user_id_mean_score"))
+
+
+# ---------------------------------------------------------------- SP1-SP4, SP7, P11, P12
+
+@register("stratified_kfold", f"WITH {FOLD_SQL} SELECT user_id, item_id, score, fold FROM f")
+def q_stratified_kfold(spark, d):
+    return folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42)
+
+
+@register("kfold", """
+SELECT user_id, item_id, CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR))), user_id, item_id) - 1) % 5 AS INT) AS fold
+FROM pairs WHERE split = 'train'""")
+def q_kfold(spark, d):
+    return folds.kfold(_train(spark, d).select("user_id", "item_id"), ["user_id", "item_id"], 5, 42)
+
+
+@register("group_kfold", """
+WITH g AS (SELECT user_id, count(*) AS n FROM pairs WHERE split = 'train' GROUP BY user_id),
+r AS (SELECT user_id, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', CAST(user_id AS VARCHAR))), user_id) - 1 AS r FROM g),
+gf AS (SELECT user_id, CAST(CASE WHEN CAST(floor(r / 5) AS BIGINT) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM r)
+SELECT p.user_id, p.item_id, gf.fold FROM pairs p JOIN gf ON gf.user_id = p.user_id WHERE p.split = 'train'""")
+def q_group_kfold(spark, d):
+    return folds.group_kfold(_train(spark, d).select("user_id", "item_id"), "user_id", 5)
+
+
+@register("holdout", f"""
+SELECT user_id, item_id, substring(md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR))), 1, 8) < '{format(int(round(0.2 * 16 ** 8)), "08x")}' AS is_valid
+FROM pairs WHERE split = 'train'""")
+def q_holdout(spark, d):
+    return folds.holdout(_train(spark, d).select("user_id", "item_id"), ["user_id", "item_id"], 0.2, 42)
+
+
+@register("sample_n", """
+SELECT user_id, item_id, score FROM pairs WHERE split = 'train'
+ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR))), user_id, item_id LIMIT 100""")
+def q_sample_n(spark, d):
+    return folds.sample_n(_train(spark, d), 100, ["user_id", "item_id"], 42)
+
+
+@register("row_index", """
+SELECT user_id, item_id, score, row_number() OVER (ORDER BY user_id, item_id) - 1 AS row_nr
+FROM pairs WHERE split = 'train'""")
+def q_row_index(spark, d):
+    return folds.row_index(_train(spark, d), ["user_id", "item_id"])
+
+
+@register("dense_index", """
+SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_id_idx FROM (SELECT DISTINCT item_id FROM pairs)""")
+def q_dense_index(spark, d):
+    return folds.dense_index(fx.pairs(spark, d), "item_id")
