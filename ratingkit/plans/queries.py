@@ -256,3 +256,116 @@ def q_row_index(spark, d):
 SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_id_idx FROM (SELECT DISTINCT item_id FROM pairs)""")
 def q_dense_index(spark, d):
     return folds.dense_index(fx.pairs(spark, d), "item_id")
+
+
+# ---------------------------------------------------------------- catalogue (F1-F9, F12, P9, U2)
+
+from ..functions import text as tx  # noqa: E402
+from ..operators import catalog  # noqa: E402
+
+INDICATOR_COLS = ["genres", "licensors", "producers"]
+_PARTS = "string_split(aired, ' to ')"
+_START = f"try_strptime({_PARTS}[1], '%b %d, %Y')"
+_END = f"CASE WHEN len({_PARTS}) < 2 THEN {_START} ELSE try_strptime({_PARTS}[2], '%b %d, %Y') END"
+CATALOG_SQL = {
+    "has_genres_cnt": "CAST(len(string_split(genres, ', ')) AS INTEGER)",
+    "has_licensors_cnt": "CAST(len(string_split(licensors, ', ')) AS INTEGER)",
+    "rating_cd": "CASE rating WHEN 'G - All Ages' THEN 0 WHEN 'PG - Children' THEN 1 WHEN 'R+ - Mild Nudity' THEN 2 "
+                 "WHEN 'PG-13 - Teens 13 or older' THEN 3 WHEN 'Rx - Hentai' THEN 4 "
+                 "WHEN 'R - 17+ (violence & profanity)' THEN 5 WHEN 'Unknown' THEN -1 END",
+    "episodes": "TRY_CAST(replace(episodes, 'Unknown', '-1') AS INTEGER)",
+    "duration_min": r"coalesce(TRY_CAST(regexp_extract(duration, '(\d+) hr.', 1) AS INTEGER), 0) * 60 + "
+                    r"coalesce(TRY_CAST(regexp_extract(duration, '(\d+) min.', 1) AS INTEGER), 0)",
+    "start_year": f"CAST(year({_START}) AS INTEGER)",
+    "end_year": f"CAST(year({_END}) AS INTEGER)",
+    "aired_days": f"CAST(CASE WHEN contains(aired, 'Unknown') OR contains(aired, '?') THEN -1 "
+                  f"ELSE coalesce(datediff('day', {_START}, {_END}) + 1, -1) END AS INTEGER)",
+    **{f"{c}_rate": f"round(CAST({c} AS DOUBLE) / NULLIF(members, 0), 6)"
+       for c in ("watching", "completed", "on_hold", "dropped")},
+}
+
+
+def _catalog_select(cols: list[str]) -> str:
+    return "SELECT item_id, " + ", ".join(f"{CATALOG_SQL[c]} AS {c}" for c in cols) + " FROM items"
+
+
+@register("catalog_features", "SELECT * REPLACE (" + ", ".join(f"{v} AS {k}" for k, v in CATALOG_SQL.items() if k == "episodes")
+          + "), " + ", ".join(f"{v} AS {k}" for k, v in CATALOG_SQL.items() if k != "episodes") + " FROM items")
+def q_catalog_features(spark, d):
+    return round_floats(catalog.catalogue_features(fx.items(spark, d)))
+
+
+@register("token_counts", _catalog_select(["has_genres_cnt", "has_licensors_cnt"]))
+def q_token_counts(spark, d):
+    return fx.items(spark, d).select("item_id", tx.token_count("genres").alias("has_genres_cnt"),
+                                     tx.token_count("licensors").alias("has_licensors_cnt"))
+
+
+@register("token_vocabulary", " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS \"column\", unnest(string_split({c}, ', ')) AS token FROM items" for c in INDICATOR_COLS))
+def q_token_vocabulary(spark, d):
+    items = fx.items(spark, d)
+    parts = [catalog.vocabulary(items, c).select(F.lit(c).alias("column"), "token") for c in INDICATOR_COLS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("token_indicator_exact", " UNION ALL ".join(
+    f"SELECT DISTINCT item_id, '{c}' AS \"column\", token FROM (SELECT item_id, unnest(string_split({c}, ', ')) AS token FROM items)"
+    for c in INDICATOR_COLS))
+def q_token_indicator_exact(spark, d):
+    return catalog.indicators(fx.items(spark, d), "item_id", INDICATOR_COLS, mode="exact")
+
+
+@register("token_indicator_regex", " UNION ALL ".join(
+    f"SELECT i.item_id, '{c}' AS \"column\", v.token FROM items i JOIN "
+    f"(SELECT DISTINCT unnest(string_split({c}, ', ')) AS token FROM items) v ON regexp_matches(i.{c}, v.token)"
+    for c in INDICATOR_COLS))
+def q_token_indicator_regex(spark, d):
+    return catalog.indicators(fx.items(spark, d), "item_id", INDICATOR_COLS, mode="regex")
+
+
+@register("episodes", _catalog_select(["episodes"]))
+def q_episodes(spark, d):
+    return fx.items(spark, d).select("item_id", tx.unknown_to_int("episodes").alias("episodes"))
+
+
+@register("duration_minutes", _catalog_select(["duration_min"]))
+def q_duration_minutes(spark, d):
+    return fx.items(spark, d).select("item_id", tx.duration_minutes("duration").alias("duration_min"))
+
+
+@register("aired_years", _catalog_select(["start_year", "end_year"]))
+def q_aired_years(spark, d):
+    s, e = tx.aired_years("aired")
+    return fx.items(spark, d).select("item_id", s.alias("start_year"), e.alias("end_year"))
+
+
+@register("aired_days", _catalog_select(["aired_days"]))
+def q_aired_days(spark, d):
+    return fx.items(spark, d).select("item_id", tx.aired_days("aired").alias("aired_days"))
+
+
+@register("rating_code", _catalog_select(["rating_cd"]))
+def q_rating_code(spark, d):
+    return fx.items(spark, d).select("item_id", tx.rating_code("rating").alias("rating_cd"))
+
+
+@register("member_ratios", _catalog_select([f"{c}_rate" for c in ("watching", "completed", "on_hold", "dropped")]))
+def q_member_ratios(spark, d):
+    out = stats.ratios(fx.items(spark, d), ["watching", "completed", "on_hold", "dropped"], "members")
+    return round_floats(out.select("item_id", *[f"{c}_rate" for c in ("watching", "completed", "on_hold", "dropped")]))
+
+
+@register("category_code", """
+WITH t AS (SELECT type, row_number() OVER (ORDER BY min(item_id)) - 1 AS c FROM items GROUP BY type),
+s AS (SELECT source, row_number() OVER (ORDER BY min(item_id)) - 1 AS c FROM items GROUP BY source)
+SELECT i.item_id, CAST(t.c AS INTEGER) AS type_code, CAST(s.c AS INTEGER) AS source_code
+FROM items i LEFT JOIN t ON t.type = i.type LEFT JOIN s ON s.source = i.source""")
+def q_category_code(spark, d):
+    items = fx.items(spark, d).select("item_id", "type", "source")
+    out = catalog.category_code(items, "type", "item_id")
+    out = catalog.category_code(out, "source", "item_id")
+    return out.select("item_id", "type_code", "source_code")
