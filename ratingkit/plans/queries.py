@@ -369,3 +369,68 @@ def q_category_code(spark, d):
     out = catalog.category_code(items, "type", "item_id")
     out = catalog.category_code(out, "source", "item_id")
     return out.select("item_id", "type_code", "source_code")
+
+
+# ---------------------------------------------------------------- similarity (J5, A6, A7, SIM1-SIM3, W2, T3, A8)
+
+from ..operators import similarity as sim  # noqa: E402
+
+SIM_SQL = """
+ui AS (SELECT user_id, item_id, count(*) AS m FROM pairs GROUP BY user_id, item_id),
+c AS (SELECT item_id, sum(m) AS c FROM ui GROUP BY item_id),
+co AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.m * b.m) AS n FROM ui a JOIN ui b ON a.user_id = b.user_id GROUP BY 1, 2),
+s AS (SELECT co.i AS item_id, co.j AS item_id_right, co.n / sqrt(ci.c * cj.c) AS weight
+      FROM co JOIN c ci ON ci.item_id = co.i JOIN c cj ON cj.item_id = co.j),
+r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY weight DESC) AS rk,
+             count(*) OVER (PARTITION BY item_id, weight) AS ties FROM s),
+top AS (SELECT item_id, item_id_right, weight, rk + (ties - 1) / 2.0 AS rank FROM r WHERE 2 * rk + ties - 1 < 100)
+"""
+
+
+def _top(spark, d):
+    return sim.top_neighbours(sim.item_similarity(fx.pairs(spark, d).select("user_id", "item_id")), 50)
+
+
+@register("item_similarity_summary", "WITH " + SIM_SQL + """
+SELECT item_id, count(*) AS n_neighbours, round(sum(weight), 6) AS weight_sum,
+       round(max(CASE WHEN item_id_right <> item_id THEN weight END), 6) AS weight_max_other
+FROM s GROUP BY item_id""")
+def q_item_similarity_summary(spark, d):
+    s = sim.item_similarity(fx.pairs(spark, d).select("user_id", "item_id"))
+    return round_floats(s.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_neighbours"), F.sum("weight").alias("weight_sum"),
+        F.max(F.when(F.col("item_id_right") != F.col("item_id"), F.col("weight"))).alias("weight_max_other")))
+
+
+@register("item_similarity_topk", "WITH " + SIM_SQL + """
+SELECT item_id, item_id_right, round(weight, 6) AS weight, rank FROM top""")
+def q_item_similarity_topk(spark, d):
+    return round_floats(_top(spark, d))
+
+
+@register("neighbour_stats", "WITH " + SIM_SQL + """,
+t AS (SELECT user_id, item_id FROM pairs WHERE split = 'train'),
+pi AS (SELECT item_id_right AS item_id, count(weight) AS weight_cnt, avg(weight) AS weight_mean, sum(weight) AS weight_sum,
+              min(weight) AS weight_min, max(weight) AS weight_max FROM top GROUP BY item_id_right)
+SELECT t.user_id, t.item_id, coalesce(pi.weight_cnt, 0) AS weight_cnt, round(pi.weight_mean, 6) AS weight_mean,
+       round(pi.weight_sum, 6) AS weight_sum, round(pi.weight_min, 6) AS weight_min, round(pi.weight_max, 6) AS weight_max
+FROM t LEFT JOIN pi ON pi.item_id = t.item_id""")
+def q_neighbour_stats(spark, d):
+    out, _ = sim.NeighbourStats(_top(spark, d)).fit_transform(_train(spark, d).select("user_id", "item_id"))
+    return round_floats(out)
+
+
+@register("neighbour_stats_profile", "WITH " + SIM_SQL + """,
+t AS (SELECT user_id, item_id FROM pairs WHERE split = 'train'),
+q AS (SELECT user_id, item_id FROM pairs WHERE split = 'test'),
+cand AS (SELECT q.user_id, q.item_id, top.weight FROM q JOIN top ON top.item_id = q.item_id AND top.item_id_right <> top.item_id
+         JOIN t ON t.user_id = q.user_id AND t.item_id = top.item_id_right),
+g AS (SELECT user_id, item_id, count(weight) AS weight_cnt, avg(weight) AS weight_mean, sum(weight) AS weight_sum,
+             min(weight) AS weight_min, max(weight) AS weight_max FROM cand GROUP BY user_id, item_id)
+SELECT q.user_id, q.item_id, coalesce(g.weight_cnt, 0) AS weight_cnt, round(g.weight_mean, 6) AS weight_mean,
+       round(g.weight_sum, 6) AS weight_sum, round(g.weight_min, 6) AS weight_min, round(g.weight_max, 6) AS weight_max
+FROM q LEFT JOIN g ON g.user_id = q.user_id AND g.item_id = q.item_id""")
+def q_neighbour_stats_profile(spark, d):
+    train = _train(spark, d).select("user_id", "item_id")
+    _, model = sim.NeighbourStats(_top(spark, d), mode="profile").fit_transform(train)
+    return round_floats(model.transform(fx.split_frame(spark, d, "test").select("user_id", "item_id")))
