@@ -434,3 +434,55 @@ def q_neighbour_stats_profile(spark, d):
     train = _train(spark, d).select("user_id", "item_id")
     _, model = sim.NeighbourStats(_top(spark, d), mode="profile").fit_transform(train)
     return round_floats(model.transform(fx.split_frame(spark, d, "test").select("user_id", "item_id")))
+
+
+# ---------------------------------------------------------------- baseline + kNN (KNN1)
+
+from ..operators import knn  # noqa: E402
+
+
+def _bias_sql(epochs: int = 10, reg_u: float = 15.0, reg_i: float = 10.0) -> str:
+    parts = ["r AS (SELECT user_id, item_id, CAST(score AS DOUBLE) AS r FROM pairs WHERE split = 'train')",
+             "g AS (SELECT avg(r) AS mu FROM r)",
+             "bu0 AS (SELECT DISTINCT user_id, CAST(0.0 AS DOUBLE) AS b_u FROM r)"]
+    for e in range(1, epochs + 1):
+        parts.append(f"bi{e} AS (SELECT r.item_id, sum(r.r - g.mu - b.b_u) / ({reg_i} + count(*)) AS b_i "
+                     f"FROM r JOIN bu{e - 1} b ON b.user_id = r.user_id, g GROUP BY r.item_id)")
+        parts.append(f"bu{e} AS (SELECT r.user_id, sum(r.r - g.mu - b.b_i) / ({reg_u} + count(*)) AS b_u "
+                     f"FROM r JOIN bi{e} b ON b.item_id = r.item_id, g GROUP BY r.user_id)")
+    parts.append(f"bu AS (SELECT * FROM bu{epochs})")
+    parts.append(f"bi AS (SELECT * FROM bi{epochs})")
+    return ",\n".join(parts)
+
+
+@register("baseline_bias", "WITH " + _bias_sql() + """
+SELECT 'user' AS kind, user_id AS id, round(b_u, 6) AS bias FROM bu
+UNION ALL SELECT 'item' AS kind, item_id AS id, round(b_i, 6) AS bias FROM bi""")
+def q_baseline_bias(spark, d):
+    m = knn.fit_baselines(_train(spark, d))
+    users = m.user_bias.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("b_u").alias("bias"))
+    items = m.item_bias.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("b_i").alias("bias"))
+    return round_floats(users.unionByName(items))
+
+
+@register("knn_predict", "WITH " + _bias_sql() + """,
+t AS (SELECT user_id, item_id FROM pairs WHERE split = 'test'),
+tb AS (SELECT t.user_id, t.item_id, bu.b_u, bi.b_i, g.mu + coalesce(bu.b_u, 0.0) + coalesce(bi.b_i, 0.0) AS base
+       FROM t LEFT JOIN bu ON bu.user_id = t.user_id LEFT JOIN bi ON bi.item_id = t.item_id, g),
+kn AS (SELECT * FROM tb WHERE b_u IS NOT NULL AND b_i IS NOT NULL),
+s AS (SELECT a.user_id AS u, b.user_id AS v, 1.0 / (sum((a.r - b.r) * (a.r - b.r)) / count(*) + 1.0) AS sim
+      FROM r a JOIN r b ON a.item_id = b.item_id WHERE a.user_id IN (SELECT user_id FROM kn) GROUP BY 1, 2),
+cand AS (SELECT kn.user_id, kn.item_id, kn.b_i, r.user_id AS v, r.r AS rv, bu.b_u AS bv, coalesce(s.sim, 0.0) AS sim
+         FROM kn JOIN r ON r.item_id = kn.item_id JOIN bu ON bu.user_id = r.user_id
+         LEFT JOIN s ON s.u = kn.user_id AND s.v = r.user_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, v) AS rn FROM cand)
+        WHERE rn <= 40 AND sim > 0),
+agg AS (SELECT user_id, item_id, sum(sim) AS ss, sum(sim * (rv - (g.mu + bv + b_i))) AS sr, count(*) AS k FROM top, g
+        GROUP BY user_id, item_id)
+SELECT tb.user_id, tb.item_id,
+       round(greatest(least(tb.base + CASE WHEN agg.k >= 1 AND agg.ss <> 0 THEN agg.sr / agg.ss ELSE 0.0 END, 10.0), 1.0), 6) AS est
+FROM tb LEFT JOIN agg ON agg.user_id = tb.user_id AND agg.item_id = tb.item_id""")
+def q_knn_predict(spark, d):
+    model = knn.BaselineKnn().fit(_train(spark, d))
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    return round_floats(model.predict(test))
