@@ -486,3 +486,20 @@ def q_knn_predict(spark, d):
     model = knn.BaselineKnn().fit(_train(spark, d))
     test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
     return round_floats(model.predict(test))
+
+
+# ---------------------------------------------------------------- fuzzy title clusters (F15, F16, FZ1, J8)
+
+from ..operators import fuzzy  # noqa: E402
+
+
+@register("title_clusters")
+def q_title_clusters(spark, d):
+    items = fx.items(spark, d).select("item_id", "name")
+    return fuzzy.cluster_names(items, "name", 0.2, order_col="item_id")
+
+
+@register("title_edges")
+def q_title_edges(spark, d):
+    names = fx.items(spark, d).select("name").distinct()
+    return round_floats(fuzzy.name_edges(names, "name", 0.2))
