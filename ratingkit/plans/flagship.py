@@ -32,7 +32,7 @@ def oof_severity_rmse(train: DataFrame, **kw) -> DataFrame:
     return rmse_by_fold(oof_severity_predictions(train, **kw), "fold", kw.get("score_col", "score"), "pred")
 
 
-ORACLE = """
+PRED_CTES = """
 WITH t AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
 f AS (SELECT user_id, item_id, score,
         CAST((row_number() OVER (PARTITION BY score ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR))), user_id, item_id) - 1) % 5 AS INT) AS fold
@@ -46,14 +46,17 @@ x AS (SELECT f.*, elig.k AS fit FROM f JOIN elig ON f.user_id = elig.user_id AND
 ue AS (SELECT user_id, fit, avg(score) AS um FROM x GROUP BY user_id, fit),
 ie AS (SELECT item_id, fit, avg(score) AS im FROM x GROUP BY item_id, fit),
 ge AS (SELECT fit, avg(score) AS gm FROM x GROUP BY fit),
-v AS (SELECT f.fold, f.score, ue.um, ie.im, ge.gm FROM f
+v AS (SELECT f.user_id, f.item_id, f.fold, f.score, ue.um, ie.im, ge.gm FROM f
       LEFT JOIN ue ON ue.user_id = f.user_id AND ue.fit = f.fold
       LEFT JOIN ie ON ie.item_id = f.item_id AND ie.fit = f.fold
       LEFT JOIN ge ON ge.fit = f.fold),
 mm AS (SELECT fold, avg(im) AS mm FROM v GROUP BY fold),
-p AS (SELECT v.fold, v.score,
+p AS (SELECT v.user_id, v.item_id, v.fold, v.score,
         greatest(least(coalesce(v.im + (v.um - mm.mm), v.im, v.um, v.gm), 10.0), 1.0) AS pred
       FROM v LEFT JOIN mm ON mm.fold = v.fold)
+"""
+
+ORACLE = PRED_CTES + """
 SELECT fold, count(*) AS n_rows, round(sqrt(avg((score - pred) * (score - pred))), 6) AS rmse FROM p GROUP BY fold
 UNION ALL
 SELECT CAST(-1 AS INT) AS fold, count(*) AS n_rows, round(sqrt(avg((score - pred) * (score - pred))), 6) AS rmse FROM p

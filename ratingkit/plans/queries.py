@@ -465,7 +465,7 @@ def q_baseline_bias(spark, d):
     return round_floats(users.unionByName(items))
 
 
-@register("knn_predict", "WITH " + _bias_sql() + """,
+KNN_CTES = _bias_sql() + """,
 t AS (SELECT user_id, item_id FROM pairs WHERE split = 'test'),
 tb AS (SELECT t.user_id, t.item_id, bu.b_u, bi.b_i, g.mu + coalesce(bu.b_u, 0.0) + coalesce(bi.b_i, 0.0) AS base
        FROM t LEFT JOIN bu ON bu.user_id = t.user_id LEFT JOIN bi ON bi.item_id = t.item_id, g),
@@ -478,10 +478,13 @@ cand AS (SELECT kn.user_id, kn.item_id, kn.b_i, r.user_id AS v, r.r AS rv, bu.b_
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, v) AS rn FROM cand)
         WHERE rn <= 40 AND sim > 0),
 agg AS (SELECT user_id, item_id, sum(sim) AS ss, sum(sim * (rv - (g.mu + bv + b_i))) AS sr, count(*) AS k FROM top, g
-        GROUP BY user_id, item_id)
-SELECT tb.user_id, tb.item_id,
-       round(greatest(least(tb.base + CASE WHEN agg.k >= 1 AND agg.ss <> 0 THEN agg.sr / agg.ss ELSE 0.0 END, 10.0), 1.0), 6) AS est
-FROM tb LEFT JOIN agg ON agg.user_id = tb.user_id AND agg.item_id = tb.item_id""")
+        GROUP BY user_id, item_id),
+kp AS (SELECT tb.user_id, tb.item_id,
+       greatest(least(tb.base + CASE WHEN agg.k >= 1 AND agg.ss <> 0 THEN agg.sr / agg.ss ELSE 0.0 END, 10.0), 1.0) AS est
+       FROM tb LEFT JOIN agg ON agg.user_id = tb.user_id AND agg.item_id = tb.item_id)"""
+
+
+@register("knn_predict", "WITH " + KNN_CTES + " SELECT user_id, item_id, round(est, 6) AS est FROM kp")
 def q_knn_predict(spark, d):
     model = knn.BaselineKnn().fit(_train(spark, d))
     test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
@@ -503,3 +506,92 @@ def q_title_clusters(spark, d):
 def q_title_edges(spark, d):
     names = fx.items(spark, d).select("name").distinct()
     return round_floats(fuzzy.name_edges(names, "name", 0.2))
+
+
+# ---------------------------------------------------------------- evaluation on out-of-fold predictions (EV4-EV8, M4)
+
+from ..operators import evaluate as ev  # noqa: E402
+
+
+def _oof_preds(spark, d):
+    return flagship.oof_severity_predictions(_train(spark, d)).select("user_id", "item_id", "fold", "score", "pred")
+
+
+@register("residual_stats", flagship.PRED_CTES + """
+SELECT user_id, round(stddev_samp(pred - score), 6) AS diff_std, round(avg(pred - score), 6) AS diff_mean, count(*) AS cnt
+FROM p GROUP BY user_id""")
+def q_residual_stats(spark, d):
+    return round_floats(ev.residual_stats(ev.residuals(_oof_preds(spark, d), "score", "pred"), "user_id"))
+
+
+@register("error_by_user", flagship.PRED_CTES + """
+SELECT user_id, round(sum((score - pred) * (score - pred)), 6) AS sum, count(*) AS count,
+       round(avg((score - pred) * (score - pred)), 6) AS mean, round(stddev_samp(score), 6) AS score_std
+FROM p GROUP BY user_id""")
+def q_error_by_user(spark, d):
+    return round_floats(ev.error_by_user(_oof_preds(spark, d), "user_id", "score", "pred"))
+
+
+@register("worst_users", flagship.PRED_CTES + """,
+w AS (SELECT user_id FROM p GROUP BY user_id ORDER BY sum((score - pred) * (score - pred)) DESC, user_id LIMIT 3)
+SELECT p.user_id, p.item_id, p.fold, p.score, round(p.pred, 6) AS pred, items.name, items.genres
+FROM p JOIN w ON w.user_id = p.user_id LEFT JOIN items ON items.item_id = p.item_id""")
+def q_worst_users(spark, d):
+    cat = fx.items(spark, d).select("item_id", "name", "genres")
+    return round_floats(ev.worst_users(_oof_preds(spark, d), cat, 3, "user_id", "item_id", "score", "pred"))
+
+
+def _hist_sql(expr: str, bins: int) -> str:
+    b = f"CAST(least(greatest(floor((({expr}) - lo) / width), 0), {bins - 1}) AS INT)"
+    return f""",
+hb AS (SELECT CAST(min({expr}) AS DOUBLE) AS lo, CAST(max({expr}) AS DOUBLE) AS hi FROM p),
+hw AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / {bins} ELSE 1.0 END AS width FROM hb)
+SELECT {b} AS bin, count(*) AS count, round(min(lo) + {b} * min(width), 6) AS bin_lo,
+       round(min(lo) + ({b} + 1) * min(width), 6) AS bin_hi
+FROM p, hw GROUP BY 1"""
+
+
+@register("residual_histogram", flagship.PRED_CTES + _hist_sql("pred - score", 100))
+def q_residual_histogram(spark, d):
+    return round_floats(ev.histogram(ev.residuals(_oof_preds(spark, d), "score", "pred"), "diff", 100))
+
+
+@register("residual_density", flagship.PRED_CTES + """,
+bx AS (SELECT CAST(min(score) AS DOUBLE) AS xlo, CAST(max(score) AS DOUBLE) AS xhi,
+              CAST(min(pred) AS DOUBLE) AS ylo, CAST(max(pred) AS DOUBLE) AS yhi FROM p),
+bw AS (SELECT xlo, ylo, CASE WHEN xhi > xlo THEN (xhi - xlo) / 20 ELSE 1.0 END AS xw,
+              CASE WHEN yhi > ylo THEN (yhi - ylo) / 20 ELSE 1.0 END AS yw FROM bx)
+SELECT CAST(least(greatest(floor((CAST(score AS DOUBLE) - xlo) / xw), 0), 19) AS INT) AS x_bin,
+       CAST(least(greatest(floor((pred - ylo) / yw), 0), 19) AS INT) AS y_bin, count(*) AS count
+FROM p, bw GROUP BY 1, 2""")
+def q_residual_density(spark, d):
+    return ev.density_2d(_oof_preds(spark, d), "score", "pred", 20)
+
+
+@register("blend_seen_unseen", "WITH " + KNN_CTES + """,
+tr AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
+e AS (SELECT * FROM tr WHERE user_id IN (SELECT user_id FROM tr GROUP BY user_id HAVING count(*) >= 5)),
+u AS (SELECT user_id, avg(score) AS um FROM e GROUP BY user_id), i AS (SELECT item_id, avg(score) AS im FROM e GROUP BY item_id),
+te AS (SELECT t.user_id, t.item_id, u.um, i.im FROM t LEFT JOIN u ON u.user_id = t.user_id LEFT JOIN i ON i.item_id = t.item_id),
+mm AS (SELECT avg(im) AS mm FROM te),
+mu AS (SELECT avg(score) AS mu FROM tr),
+seen AS (SELECT DISTINCT user_id FROM tr)
+SELECT te.user_id, te.item_id, CASE WHEN seen.user_id IS NULL THEN 0 ELSE 1 END AS is_train_user,
+       round(CASE WHEN seen.user_id IS NOT NULL
+                  THEN greatest(least(coalesce(te.im + (te.um - mm.mm), te.im, te.um, mu.mu), 10.0), 1.0)
+                  ELSE kp.est END, 6) AS score
+FROM te CROSS JOIN mm CROSS JOIN mu LEFT JOIN seen ON seen.user_id = te.user_id
+LEFT JOIN kp ON kp.user_id = te.user_id AND kp.item_id = te.item_id""")
+def q_blend_seen_unseen(spark, d):
+    train = _train(spark, d)
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    spec = {("user_id", "score"): ["mean"], ("item_id", "score"): ["mean"]}
+    enc = stats.TargetEncoder(spec, 5).fit(train).transform(test)
+    sev = stats.severity_scale(enc, "te_item_id_mean_score", "te_user_id_mean_score")
+    mu = stats.global_mean(train, "score")
+    seen_pred = F.coalesce("calibrated_anime_mean_score", "te_item_id_mean_score", "te_user_id_mean_score", F.lit(mu))
+    sev = sev.withColumn("seen_pred", F.least(F.greatest(seen_pred, F.lit(1.0)), F.lit(10.0)))
+    knn_est = knn.BaselineKnn().fit(train).predict(test)
+    both = sev.select("user_id", "item_id", "seen_pred").join(knn_est, ["user_id", "item_id"])
+    out = ev.blend_seen(both, train, "user_id", "seen_pred", "est")
+    return round_floats(out.select("user_id", "item_id", "is_train_user", "score"))
