@@ -595,3 +595,95 @@ def q_blend_seen_unseen(spark, d):
     both = sev.select("user_id", "item_id", "seen_pred").join(knn_est, ["user_id", "item_id"])
     out = ev.blend_seen(both, train, "user_id", "seen_pred", "est")
     return round_floats(out.select("user_id", "item_id", "is_train_user", "score"))
+
+
+# ---------------------------------------------------------------- SVD, embeddings, factor models, GBT (rows-only)
+
+from ..operators import embed, factor, linalg  # noqa: E402
+from ..operators import model as gbm  # noqa: E402
+
+
+@register("svd_similarity")
+def q_svd_similarity(spark, d):
+    """SVD1: 10-dim item embedding from the long-form similarity matrix (``cf_svd_0..9``)."""
+    s = sim.item_similarity(fx.pairs(spark, d).select("user_id", "item_id"))
+    us, _ = linalg.truncated_svd(s, "item_id", "item_id_right", "weight", k=10)
+    return linalg.widen(us, "item_id", "vec", 10, "cf_svd_")
+
+
+@register("svd_multilabel")
+def q_svd_multilabel(spark, d):
+    """SVD2: multi-label one-hot of ``producers`` / ``studios`` (split on ``","``) -> 10 dims each."""
+    items = fx.items(spark, d)
+    out = items.select("item_id")
+    for c in ("producers", "studios"):
+        onehot = (catalog.tokens(items, "item_id", c, ",").select("item_id", "token")
+                  .withColumn("one", F.lit(1.0)))
+        us, _ = linalg.truncated_svd(onehot, "item_id", "token", "one", k=10)
+        out = out.join(linalg.widen(us, "item_id", "vec", 10, f"svd_{c}_"), "item_id", "left")
+    return out
+
+
+@register("user_sentence_lengths", """
+SELECT user_id, c.copy, CAST(sum(score) AS BIGINT) AS n_words
+FROM pairs, (SELECT range AS copy FROM range(2)) c WHERE split = 'train' GROUP BY user_id, c.copy""")
+def q_user_sentence_lengths(spark, d):
+    s = embed.user_sentences(_train(spark, d))
+    return s.groupBy("user_id", F.col("copy").cast("bigint").alias("copy")).agg(
+        F.sum(F.size("sentence")).cast("bigint").alias("n_words"))
+
+
+@register("user_sentences")
+def q_user_sentences(spark, d):
+    return embed.user_sentences(_train(spark, d))
+
+
+@register("w2v_features")
+def q_w2v_features(spark, d):
+    model = embed.Word2VecFeatures().fit(_train(spark, d))
+    return model.transform(fx.split_frame(spark, d, "test").select("user_id", "item_id"))
+
+
+@register("als_features")
+def q_als_features(spark, d):
+    pairs = fx.pairs(spark, d).select("user_id", "item_id")
+    model = factor.fit_als(pairs, rank=64, reg=0.05, alpha=2.0, max_iter=15)
+    return model.transform(pairs, wide=True)
+
+
+@register("bpr_features")
+def q_bpr_features(spark, d):
+    # query keeps the run short (5 epochs, 32 factors); library defaults follow the reference's library
+    pairs = fx.pairs(spark, d).select("user_id", "item_id")
+    model = factor.fit_bpr(pairs, factors=32, epochs=5, lr=0.05)
+    return model.transform(pairs, wide=False)
+
+
+def _gbt_features(tr, va, te):
+    """Per-fold features: target encodings fitted on the fold's train part, plus catalogue numbers."""
+    spec = {("user_id", "score"): ["mean", "count", "std", "min", "max"],
+            ("item_id", "score"): ["mean", "count", "std", "min", "max"]}
+    enc = stats.TargetEncoder(spec, 5).fit(tr)
+    return enc.transform(tr), enc.transform(va), enc.transform(te)
+
+
+def _gbt_run(spark, d):
+    cat = catalog.catalogue_features(fx.items(spark, d)).select(
+        "item_id", "members", "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate",
+        "episodes", "duration_min", "aired_days", "rating_cd", "has_genres_cnt")
+    folded = folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42).join(cat, "item_id", "left")
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id").join(cat, "item_id", "left")
+    return gbm.cross_validate(folded, test, 5, _gbt_features, drop=[], max_iter=30, patience=10)
+
+
+@register("gbt_oof")
+def q_gbt_oof(spark, d):
+    oof, test_pred, _ = _gbt_run(spark, d)
+    return ev.rmse_by_fold(oof, "fold", "score", "pred")
+
+
+@register("importance")
+def q_importance(spark, d):
+    _, _, imps = _gbt_run(spark, d)
+    table = spark.createDataFrame(imps, "fold int, column string, importance double")
+    return ev.importance_table(table, 50)
