@@ -655,7 +655,7 @@ def q_als_features(spark, d):
 def q_bpr_features(spark, d):
     # query keeps the run short (5 epochs, 32 factors); library defaults follow the reference's library
     pairs = fx.pairs(spark, d).select("user_id", "item_id")
-    model = factor.fit_bpr(pairs, factors=32, epochs=5, lr=0.05)
+    model = factor.fit_bpr(pairs, factors=32, epochs=5, lr=5.0)
     return model.transform(pairs, wide=False)
 
 
