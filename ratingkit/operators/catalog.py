@@ -112,3 +112,25 @@ def catalogue_features(items: DataFrame, compat_years: bool = False) -> DataFram
         **{f"{c}_rate": F.try_divide(F.col(c).cast("double"), F.col("members"))
            for c in ("watching", "completed", "on_hold", "dropped")},
     })
+
+
+def column_check(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """Train/test column comparison as a data job (P13): for every column of either side, its
+    presence, null count, distinct count and min/max (as text) on both sides.  One aggregate per
+    side, unpivoted with ``stack``; columns missing on a side show ``present = false``."""
+    cols = sorted(set(left.columns) | set(right.columns))
+    parts = []
+    for side, df in zip(names, (left, right)):
+        have = [c for c in cols if c in df.columns]
+        aggs = []
+        for c in have:
+            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__nulls"),
+                     F.countDistinct(c).alias(f"{c}__distinct"),
+                     F.min(c).cast("string").alias(f"{c}__min"), F.max(c).cast("string").alias(f"{c}__max")]
+        row = df.agg(*aggs)
+        stack = ", ".join(f"'{c}', `{c}__nulls`, `{c}__distinct`, `{c}__min`, `{c}__max`" for c in have)
+        long = row.selectExpr(f"stack({len(have)}, {stack}) AS (column, nulls, n_distinct, min_value, max_value)")
+        full = df.sparkSession.createDataFrame([(c,) for c in cols], "column string").join(long, "column", "left")
+        parts.append(full.select(F.lit(side).alias("side"), "column", F.col("nulls").isNotNull().alias("present"),
+                                 "nulls", "n_distinct", "min_value", "max_value"))
+    return parts[0].unionByName(parts[1])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import agg_expr
+from ..session import cut_lineage
 
 Spec = Mapping[tuple[str, str], Sequence[str]]
 
@@ -122,6 +123,9 @@ def oof_target_encode(df: DataFrame, spec: Spec, fold_col: str = "fold", k: int
     exploded = (df.join(counts, count_col)
                   .select("*", F.explode(fits).alias("_fit"))
                   .drop("_tot", "_fc"))
+    if len(_by_key(spec)) + (1 if global_target else 0) > 1:
+        needed = {count_col, "_fit", *[k for k, _ in spec], *[t for _, t in spec]} | ({global_target} - {None})
+        exploded = cut_lineage(exploded.select(*[c for c in exploded.columns if c in needed]))
     tables: dict[str, DataFrame] = {}
     for key, items in _by_key(spec).items():
         tables[key] = (exploded.groupBy(key, F.col("_fit").alias(fold_col))

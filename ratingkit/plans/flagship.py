@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import rmse_by_fold
 from ..operators.folds import stratified_kfold
 from ..operators.stats import oof_target_encode, severity_scale, te_name
+from ..session import cut_lineage
 
 
 def oof_severity_predictions(train: DataFrame, k: int = 5, seed: int = 42, min_count: int = 5,
                              user_col: str = "user_id", item_col: str = "item_id", score_col: str = "score",
                              lo: float = 1.0, hi: float = 10.0) -> DataFrame:
-    folded = stratified_kfold(train, [user_col, item_col], score_col, k, seed)
+    # the fold table feeds every branch below (counts, fits, joins): write it once
+    folded = cut_lineage(stratified_kfold(train, [user_col, item_col], score_col, k, seed))
     spec = {(user_col, score_col): ["mean"], (item_col, score_col): ["mean"]}
     enc, _ = oof_target_encode(folded, spec, "fold", k, min_count, user_col, global_target=score_col)
     um, im = te_name(user_col, "mean", score_col), te_name(item_col, "mean", score_col)

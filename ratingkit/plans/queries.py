@@ -687,3 +687,32 @@ def q_importance(spark, d):
     _, _, imps = _gbt_run(spark, d)
     table = spark.createDataFrame(imps, "fold int, column string, importance double")
     return ev.importance_table(table, 50)
+
+
+# ---------------------------------------------------------------- P13 column check, P11 + IO6 submission frame
+
+from ..sources import io as rio  # noqa: E402
+
+
+@register("column_check", """
+WITH tr AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
+te AS (SELECT user_id, item_id FROM pairs WHERE split = 'test')
+SELECT 'train' AS side, 'item_id' AS "column", true AS present, count(*) - count(item_id) AS nulls, count(DISTINCT item_id) AS n_distinct,
+       CAST(min(item_id) AS VARCHAR) AS min_value, CAST(max(item_id) AS VARCHAR) AS max_value FROM tr
+UNION ALL SELECT 'train', 'score', true, count(*) - count(score), count(DISTINCT score), CAST(min(score) AS VARCHAR), CAST(max(score) AS VARCHAR) FROM tr
+UNION ALL SELECT 'train', 'user_id', true, count(*) - count(user_id), count(DISTINCT user_id), CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR) FROM tr
+UNION ALL SELECT 'test', 'item_id', true, count(*) - count(item_id), count(DISTINCT item_id), CAST(min(item_id) AS VARCHAR), CAST(max(item_id) AS VARCHAR) FROM te
+UNION ALL SELECT 'test', 'score', false, NULL, NULL, NULL, NULL
+UNION ALL SELECT 'test', 'user_id', true, count(*) - count(user_id), count(DISTINCT user_id), CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR) FROM te""")
+def q_column_check(spark, d):
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    return catalog.column_check(_train(spark, d), test)
+
+
+@register("submission_frame", "WITH " + KNN_CTES + """,
+q AS (SELECT user_id, item_id, row_number() OVER (ORDER BY user_id, item_id) - 1 AS row_nr FROM pairs WHERE split = 'test')
+SELECT q.row_nr, round(kp.est, 6) AS score FROM q JOIN kp ON kp.user_id = q.user_id AND kp.item_id = q.item_id""")
+def q_submission_frame(spark, d):
+    test = folds.row_index(fx.split_frame(spark, d, "test").select("user_id", "item_id"), ["user_id", "item_id"])
+    preds = knn.BaselineKnn().fit(_train(spark, d)).predict(test).withColumnRenamed("est", "score")
+    return round_floats(rio.submission_frame(preds))
