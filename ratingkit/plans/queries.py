@@ -716,3 +716,50 @@ def q_submission_frame(spark, d):
     test = folds.row_index(fx.split_frame(spark, d, "test").select("user_id", "item_id"), ["user_id", "item_id"])
     preds = knn.BaselineKnn().fit(_train(spark, d)).predict(test).withColumnRenamed("est", "score")
     return round_floats(rio.submission_frame(preds))
+
+
+# ---------------------------------------------------------------- embeddings table (F10, F11, SVD3) and binned strata (SP6)
+
+from ..functions import vectors as vx  # noqa: E402
+
+
+def _centroids(emb: DataFrame) -> DataFrame:
+    """Per-label mean vector: position-wise averages (one small array per label)."""
+    long = emb.select("label", F.posexplode(vx.as_double_array("embedding")).alias("_i", "_x"))
+    per = long.groupBy("label", "_i").agg(F.avg("_x").alias("_m"))
+    return per.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_s")).select(
+        "label", F.col("_s._m").alias("centroid"))
+
+
+@register("embedding_label_cosine", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT vec_id, label, unnest(v) AS val, generate_subscripts(v, 1) AS i FROM e),
+c AS (SELECT label, i, avg(val) AS m FROM x GROUP BY label, i),
+d AS (SELECT x.vec_id, sum(x.val * c.m) AS dot, sum(x.val * x.val) AS nx, sum(c.m * c.m) AS nc
+      FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY x.vec_id)
+SELECT e.vec_id, e.label, round(CASE WHEN sqrt(nx) * sqrt(nc) > 0 THEN dot / (sqrt(nx) * sqrt(nc)) END, 6) AS cosine,
+       round(e.v[1], 6) AS emb_0, round(e.v[2], 6) AS emb_1
+FROM e LEFT JOIN d ON d.vec_id = e.vec_id""")
+def q_embedding_label_cosine(spark, d):
+    emb = fx.table(spark, d, "embeddings")
+    out = emb.join(_centroids(emb), "label", "left").select(
+        "vec_id", "label", vx.cosine(vx.as_double_array("embedding"), "centroid").alias("cosine"),
+        *[vx.as_double_array("embedding")[i].alias(f"emb_{i}") for i in range(2)])
+    return round_floats(out)
+
+
+@register("embedding_projection")
+def q_embedding_projection(spark, d):
+    """SVD3 on the embeddings table: basis fitted on one half (label 0), applied to all rows."""
+    emb = fx.table(spark, d, "embeddings").select("vec_id", "label", vx.as_double_array("embedding").alias("vec"))
+    basis = linalg.fit_projection(emb.where("label = 0").select("vec_id", "vec"), 8)
+    return linalg.widen(linalg.project(emb.select("vec_id", "vec"), basis), "vec_id", "vec", 8, "svd_")
+
+
+@register("binned_stratified_kfold", """
+SELECT event_id, CAST(floor(value / 10) AS BIGINT) AS stratum,
+  CAST((row_number() OVER (PARTITION BY floor(value / 10) ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))), event_id) - 1) % 5 AS INT) AS fold
+FROM events""")
+def q_binned_stratified_kfold(spark, d):
+    ev_ = fx.table(spark, d, "events").select("event_id", folds.binned_stratum("value", 10.0))
+    return folds.stratified_kfold(ev_, ["event_id"], "stratum", 5, 42).select("event_id", "stratum", "fold")
