@@ -667,7 +667,18 @@ def _gbt_features(tr, va, te):
     return enc.transform(tr), enc.transform(va), enc.transform(te)
 
 
+_GBT_RUNS: dict = {}
+
+
 def _gbt_run(spark, d):
+    """One CV run per session and data folder: ``gbt_oof`` and ``importance`` share it."""
+    key = (id(spark), d)
+    if key not in _GBT_RUNS:
+        _GBT_RUNS[key] = _gbt_run_uncached(spark, d)
+    return _GBT_RUNS[key]
+
+
+def _gbt_run_uncached(spark, d):
     cat = catalog.catalogue_features(fx.items(spark, d)).select(
         "item_id", "members", "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate",
         "episodes", "duration_min", "aired_days", "rating_cd", "has_genres_cnt")
