@@ -102,7 +102,7 @@ class TargetEncoder:
 
 def oof_target_encode(df: DataFrame, spec: Spec, fold_col: str = "fold", k: int = 5,
                       min_count: int = 5, count_col: str = "user_id", prefix: str = "te",
-                      global_target: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+                      global_target: str | None = None, materialize: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Out-of-fold target encoding (A3) in one pass over the data.
 
     Row ``r`` of fold ``f`` is encoded with what :class:`TargetEncoder` would fit on the other
@@ -113,6 +113,8 @@ def oof_target_encode(df: DataFrame, spec: Spec, fold_col: str = "fold", k: int
     (``key, fold, te_*``) for encoding unseen rows fold by fold (M3).
 
     ``global_target`` adds ``{prefix}_global_mean_{target}`` per fit fold (fallback prediction).
+    ``materialize`` writes the expanded fit rows once (worth it when ``df`` itself is expensive
+    to recompute; with a checkpointed ``df`` re-deriving them per key is cheaper).
     """
     counts = df.groupBy(count_col).agg(
         F.count(F.lit(1)).alias("_tot"),
@@ -123,7 +125,7 @@ def oof_target_encode(df: DataFrame, spec: Spec, fold_col: str = "fold", k: int
     exploded = (df.join(counts, count_col)
                   .select("*", F.explode(fits).alias("_fit"))
                   .drop("_tot", "_fc"))
-    if len(_by_key(spec)) + (1 if global_target else 0) > 1:
+    if materialize and len(_by_key(spec)) + (1 if global_target else 0) > 1:
         needed = {count_col, "_fit", *[k for k, _ in spec], *[t for _, t in spec]} | ({global_target} - {None})
         exploded = cut_lineage(exploded.select(*[c for c in exploded.columns if c in needed]))
     tables: dict[str, DataFrame] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, stats
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import flagship
 from .registry import register
@@ -152,7 +153,7 @@ enc AS (SELECT f.user_id, f.item_id, f.fold, u.* EXCLUDE (user_id, fit), i.* EXC
 
 
 def _oof(spark, d):
-    folded = folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42)
+    folded = cut_lineage(folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42))
     enc, tables = stats.oof_target_encode(folded, TE_SPEC, "fold", 5, 5, "user_id")
     return enc, tables
 
