@@ -82,3 +82,28 @@ def test_mean_encoder_replaces_columns(spark):
     enc = stats.MeanEncoder(["type"], "target")
     out = {r[0] for r in enc.transform_with(enc.fit(train), test).collect()}
     assert out == {2.0, None}
+
+
+def test_flagship_matches_pandas(spark):
+    import numpy as np
+    from ratingkit.plans import flagship
+    rng = np.random.default_rng(4)
+    rows = list({(int(u), int(i)): (int(u), int(i), int(rng.integers(1, 11)))
+                 for u, i in zip(rng.integers(0, 30, 600), rng.integers(0, 40, 600))}.values())
+    df = spark.createDataFrame(rows, "user_id long, item_id long, score int")
+    got = {r.fold: r.rmse for r in flagship.oof_severity_rmse(df).collect()}
+    folded = folds.stratified_kfold(df, ["user_id", "item_id"], "score", 5, 42).toPandas()
+    parts = []
+    for f in range(5):
+        fit, val = folded[folded.fold != f], folded[folded.fold == f].copy()
+        n = fit.groupby("user_id").size()
+        fit = fit[fit.user_id.isin(n[n >= 5].index)]
+        val["um"] = val.user_id.map(fit.groupby("user_id").score.mean())
+        val["im"] = val.item_id.map(fit.groupby("item_id").score.mean())
+        mm = val.im.mean()
+        pred = (val.im + (val.um - mm)).fillna(val.im).fillna(val.um).fillna(fit.score.mean())
+        val["pred"] = pred.clip(1, 10)
+        parts.append(val)
+        assert got[f] == pytest.approx(np.sqrt(((val.score - val.pred) ** 2).mean()), abs=1e-6)
+    allv = pd.concat(parts)
+    assert got[-1] == pytest.approx(np.sqrt(((allv.score - allv.pred) ** 2).mean()), abs=1e-6)
