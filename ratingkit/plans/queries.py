@@ -775,3 +775,37 @@ FROM events""")
 def q_binned_stratified_kfold(spark, d):
     ev_ = fx.table(spark, d, "events").select("event_id", folds.binned_stratum("value", 10.0))
     return folds.stratified_kfold(ev_, ["event_id"], "stratum", 5, 42).select("event_id", "stratum", "fold")
+
+
+# ---------------------------------------------------------------- A2 with the full reference configuration (52 columns, 2 aggregations)
+
+COUNT_COLS = ["members", "watching", "completed", "on_hold", "dropped"]
+FULL_SPEC = {("user_id", "score"): TE_AGGS, ("item_id", "score"): TE_AGGS,
+             **{(k, c): ["mean", "sum", "count", "std"] for k in ("user_id", "item_id") for c in COUNT_COLS}}
+
+
+def _full_te_sql() -> str:
+    def aggs(key: str) -> str:
+        out = [f"round(avg(score), 6) AS te_{key}_mean_score", f"CAST(sum(score) AS BIGINT) AS te_{key}_sum_score",
+               f"count(score) AS te_{key}_count_score", f"round(stddev_samp(score), 6) AS te_{key}_std_score",
+               f"min(score) AS te_{key}_min_score", f"max(score) AS te_{key}_max_score"]
+        for c in COUNT_COLS:
+            out += [f"round(avg({c}), 6) AS te_{key}_mean_{c}", f"CAST(sum({c}) AS BIGINT) AS te_{key}_sum_{c}",
+                    f"count({c}) AS te_{key}_count_{c}", f"round(stddev_samp({c}), 6) AS te_{key}_std_{c}"]
+        return ", ".join(out)
+    cols = ", ".join(COUNT_COLS)
+    return f"""
+WITH t AS (SELECT p.user_id, p.item_id, p.score, {cols} FROM pairs p JOIN items USING (item_id) WHERE p.split = 'train'),
+e AS (SELECT * FROM t WHERE user_id IN (SELECT user_id FROM t GROUP BY user_id HAVING count(*) >= 5)),
+u AS (SELECT user_id, {aggs('user_id')} FROM e GROUP BY user_id),
+i AS (SELECT item_id, {aggs('item_id')} FROM e GROUP BY item_id)
+SELECT p.user_id, p.item_id, u.* EXCLUDE (user_id), i.* EXCLUDE (item_id)
+FROM pairs p LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN i ON i.item_id = p.item_id WHERE p.split = 'test'"""
+
+
+@register("target_encoding_full", _full_te_sql())
+def q_target_encoding_full(spark, d):
+    cat = fx.items(spark, d).select("item_id", *COUNT_COLS)
+    model = stats.TargetEncoder(FULL_SPEC, min_count=5).fit(_train(spark, d).join(cat, "item_id"))
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
+    return round_floats(model.transform(test))
