@@ -75,7 +75,7 @@ FOLD_SQL = """f AS (SELECT user_id, item_id, score,
 # ---------------------------------------------------------------- A1, W1, W3, A6, A13
 
 @register("user_stats", """
-SELECT user_id, avg(score) AS user_score_mean, count(score) AS user_score_count,
+SELECT user_id, round(avg(score), 6) AS user_score_mean, count(score) AS user_score_count,
        round(stddev_samp(score), 6) AS user_score_std, max(score) AS user_score_max, min(score) AS user_score_min
 FROM pairs WHERE split = 'train' GROUP BY user_id""")
 def q_user_stats(spark, d):
@@ -83,7 +83,7 @@ def q_user_stats(spark, d):
 
 
 @register("item_stats", """
-SELECT item_id, avg(score) AS item_score_mean, count(score) AS item_score_count,
+SELECT item_id, round(avg(score), 6) AS item_score_mean, count(score) AS item_score_count,
        round(stddev_samp(score), 6) AS item_score_std, max(score) AS item_score_max, min(score) AS item_score_min
 FROM pairs WHERE split = 'train' GROUP BY item_id""")
 def q_item_stats(spark, d):
