@@ -63,3 +63,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder so a lost executor never replays the chain."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ratingkit`` importable in Python workers (Arrow UDFs, ``mapInPandas``).
+
+    Zips the package once per application and registers it with ``addPyFile``; Spark then
+    serves it to every executor, so nothing depends on the workers' ``PYTHONPATH``.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="ratingkit-py-"), "ratingkit.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
