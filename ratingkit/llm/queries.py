@@ -65,3 +65,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _, _ = shard_by_slots(_table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def _bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op3_pack_column_generation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(_table(spark, sf_dir, "documents"), _bpe_path())
+
+
+@register("op7_bitplane_ids")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitplanes import read_documents, write_ids
+    from .common import shared_path
+    path = shared_path(spark, "token_ids")
+    write_ids(_table(spark, sf_dir, "documents"), path, _bpe_path())
+    return read_documents(spark, path)
