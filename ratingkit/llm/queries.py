@@ -85,3 +85,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token_ids")
     write_ids(_table(spark, sf_dir, "documents"), path, _bpe_path())
     return read_documents(spark, path)
+
+
+@register("op2_toxicity_nb_ngrams")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, fit, held_out
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
