@@ -94,3 +94,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                                     (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op5_jaccard_multi_order")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
