@@ -100,3 +100,50 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@register("op6_piece_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_counts import token_counts
+    return token_counts(_table(spark, sf_dir, "documents"), _bpe_path())
+
+
+@register("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import cut_repeats
+    return cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op9_line_spread", r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS site, i AS at, string_split(text, chr(10))[i] AS raw
+  FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents WHERE length(text) > 0)),
+kept AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
+long AS (
+  SELECT * FROM kept WHERE length(line) - length(replace(line, ' ', '')) >= 2),
+shared AS (
+  SELECT line FROM long GROUP BY line HAVING count(DISTINCT site) >= 8),
+cuts AS (
+  SELECT doc_id, count(*) AS n, sum(length(raw)) AS chars FROM long WHERE line IN (SELECT line FROM shared)
+  GROUP BY doc_id),
+judged AS (
+  SELECT d.doc_id, d.text, coalesce(c.chars <= 0.5 * length(d.text), false) AS cut, c.n, c.chars
+  FROM documents d LEFT JOIN cuts c USING (doc_id)),
+texts AS (
+  SELECT k.doc_id, string_agg(k.raw, chr(10) ORDER BY k.at) AS text
+  FROM kept k JOIN judged j USING (doc_id)
+  WHERE NOT (j.cut AND length(k.line) - length(replace(k.line, ' ', '')) >= 2
+             AND k.line IN (SELECT line FROM shared))
+  GROUP BY k.doc_id)
+SELECT j.doc_id, CASE WHEN j.cut THEN n ELSE 0 END AS lines_cut,
+       CAST(CASE WHEN j.cut THEN j.chars ELSE 0 END AS BIGINT) AS chars_cut,
+       sha256(coalesce(CASE WHEN j.cut THEN t.text ELSE j.text END, '')) AS text_sha256
+FROM judged j LEFT JOIN texts t USING (doc_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_spread import cut_shared_lines
+    cut = cut_shared_lines(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("__lines_cut").cast("long").alias("lines_cut"),
+                      F.col("__chars_cut").cast("long").alias("chars_cut"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
