@@ -1,12 +1,65 @@
-"""Corpus preparation in stages, each one operator of ``ratingkit.llm``."""
+"""Corpus preparation in stages, each one operator of ``ratingkit.llm``.
+
+``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns what it
+keeps, in the columns of ``documents`` (the last one: the packed pieces).  ``run`` writes each stage's
+result as Parquet in the shared folder and reads it back as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratingkit.llm import decontaminate, jaccard, line_spread, packing, toxicity
+from ratingkit.llm.common import staged
+
+# A learned classifier decides the first stage; tests compare the later ones with brute force.
+ORACLE_SQL = None
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scoring 0.7 or more go; labels of held-out ids train nothing."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.remove_toxic(docs, model)
+
+
+def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of many sites are cut from the texts; every document stays, ``n_chars`` follows its text."""
+    cut = line_spread.cut_shared_lines(docs)
+    columns = [F.when(F.col("__lines_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
+        docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return cut.select(columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words a shingle, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, num=80, den=100)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words inside benchmark windows go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", cut_boilerplate),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
