@@ -62,7 +62,7 @@ def ngram_buckets(points: np.ndarray, bounds: np.ndarray, table: np.ndarray | No
     wide = points.astype(np.uint64)
     for n in range(1, max(NGRAMS) + 1):
         h *= _M
-        h[:len(h) - n + 1] += wide[n - 1:] + np.uint64(1)
+        h[:max(0, len(h) - n + 1)] += wide[n - 1:] + np.uint64(1)
         if n not in NGRAMS:
             continue
         x = h + np.uint64(n)
