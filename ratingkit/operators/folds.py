@@ -35,17 +35,34 @@ def bucketed_row_number(df: DataFrame, partition_cols: Sequence[str], bucket_col
     offsets = counts.select(*partition_cols, *bucket_cols,
                             F.coalesce(F.sum("_bucket_n").over(before), F.lit(0)).alias("_bucket_off"))
     inside = Window.partitionBy(*partition_cols, *bucket_cols).orderBy(*order)
-    return (df.join(offsets, [*partition_cols, *bucket_cols])
+    return (null_safe_join(df, offsets, [*partition_cols, *bucket_cols])
               .withColumn(out, F.col("_bucket_off") + F.row_number().over(inside))
               .drop("_bucket_off"))
 
 
+def null_safe_join(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a null key matches a null key, so rows without a stratum or group stay."""
+    right = table.withColumnsRenamed({c: f"_ns_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_ns_{c}"))
+    return df.join(right, same).drop(*[f"_ns_{c}" for c in keys])
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Hex digits of the rank buckets: about 16 buckets per shuffle partition, so they grow with the
+    cluster the job is sized for.  Ranks do not depend on it."""
+    n = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2, len(format(n, "x")))
+
+
 def stratified_kfold(df: DataFrame, key_cols: Sequence[str], strat_col: str | None, k: int = 5,
-                     seed: int = 42, fold_col: str = "fold", salt_digits: int = 3) -> DataFrame:
+                     seed: int = 42, fold_col: str = "fold", salt_digits: int | None = None) -> DataFrame:
     """Stratified k-fold (SP3): inside each stratum rows are ranked by ``md5(seed|key)`` and
     dealt round-robin, so every fold gets ``n/k`` rows of each stratum (±1).  ``strat_col=None``
-    gives plain shuffled k-fold with exact balance (SP2)."""
+    gives plain shuffled k-fold with exact balance (SP2).  Rows without a stratum form one."""
     part = [strat_col] if strat_col else []
+    salt_digits = salt_digits or bucket_digits(df)
     h = df.withColumn("_hk", hash_key(key_cols, seed)).withColumn("_hb", F.substring("_hk", 1, salt_digits))
     order = [F.col("_hk")] + [F.col(c) for c in key_cols]
     ranked = bucketed_row_number(h, part, ["_hb"], [F.col("_hb")], order, "_rn")
@@ -67,9 +84,11 @@ def binned_stratum(col: str, width: float, out: str = "stratum") -> Column:
 
 
 def group_kfold(df: DataFrame, group_col: str, k: int = 5, fold_col: str = "fold", seed: int = 42,
-                salt_digits: int = 2) -> DataFrame:
+                salt_digits: int | None = None) -> DataFrame:
     """Group k-fold (SP4): a group never spans two folds.  Groups are ranked by size (desc, ties
-    by ``md5``) and dealt in snake order ``0..k-1, k-1..0, ...`` so fold sizes stay close."""
+    by ``md5``) and dealt in snake order ``0..k-1, k-1..0, ...`` so fold sizes stay close.  Rows
+    without a group are one group."""
+    salt_digits = salt_digits or bucket_digits(df)
     sizes = (df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gsize"))
                .withColumn("_hk", hash_key([group_col], seed))
                .withColumn("_hb", F.substring("_hk", 1, salt_digits)))
@@ -78,7 +97,7 @@ def group_kfold(df: DataFrame, group_col: str, k: int = 5, fold_col: str = "fold
     r = F.col("_rn") - 1
     snake = F.when((F.floor(r / k) % 2) == 0, r % k).otherwise(k - 1 - r % k)
     folds = ranked.select(group_col, snake.cast("int").alias(fold_col))
-    return df.join(folds, group_col)
+    return null_safe_join(df, folds, [group_col])
 
 
 def holdout(df: DataFrame, key_cols: Sequence[str], frac: float = 0.2, seed: int = 42,

@@ -179,15 +179,15 @@ def q_oof_to_test(spark, d):
 
 
 @register("mean_encoder", """
-WITH t AS (SELECT p.user_id, p.item_id, p.score, i.type, i.source FROM pairs p JOIN items i ON i.item_id = p.item_id WHERE p.split = 'train'),
+WITH t AS (SELECT p.user_id, p.item_id, p.score, i.type, i.source FROM pairs p LEFT JOIN items i ON i.item_id = p.item_id WHERE p.split = 'train'),
 mt AS (SELECT type, avg(score) AS m FROM t GROUP BY type), ms AS (SELECT source, avg(score) AS m FROM t GROUP BY source)
 SELECT p.user_id, p.item_id, round(mt.m, 6) AS type, round(ms.m, 6) AS source
-FROM pairs p JOIN items i ON i.item_id = p.item_id LEFT JOIN mt ON mt.type = i.type LEFT JOIN ms ON ms.source = i.source
+FROM pairs p LEFT JOIN items i ON i.item_id = p.item_id LEFT JOIN mt ON mt.type = i.type LEFT JOIN ms ON ms.source = i.source
 WHERE p.split = 'test'""")
 def q_mean_encoder(spark, d):
     cat = fx.items(spark, d).select("item_id", "type", "source")
-    train = _train(spark, d).join(cat, "item_id")
-    test = fx.split_frame(spark, d, "test").select("user_id", "item_id").join(cat, "item_id")
+    train = _train(spark, d).join(cat, "item_id", "left")
+    test = fx.split_frame(spark, d, "test").select("user_id", "item_id").join(cat, "item_id", "left")
     enc = stats.MeanEncoder(["type", "source"], "score")
     return round_floats(enc.transform_with(enc.fit(train), test))
 
@@ -654,10 +654,9 @@ def q_als_features(spark, d):
 
 @register("bpr_features")
 def q_bpr_features(spark, d):
-    # query keeps the run short (5 epochs, 32 factors); library defaults follow the reference's library
     pairs = fx.pairs(spark, d).select("user_id", "item_id")
-    model = factor.fit_bpr(pairs, factors=32, epochs=5, lr=5.0)
-    return model.transform(pairs, wide=False)
+    model = factor.fit_bpr(pairs, factors=100, epochs=100, lr=5.0)
+    return model.transform(pairs, wide=True)
 
 
 def _gbt_features(tr, va, te):
@@ -762,9 +761,9 @@ def q_embedding_label_cosine(spark, d):
 
 @register("embedding_projection")
 def q_embedding_projection(spark, d):
-    """SVD3 on the embeddings table: basis fitted on one half (label 0), applied to all rows."""
+    """SVD3 on the embeddings table: basis fitted on all rows and applied to them."""
     emb = fx.table(spark, d, "embeddings").select("vec_id", "label", vx.as_double_array("embedding").alias("vec"))
-    basis = linalg.fit_projection(emb.where("label = 0").select("vec_id", "vec"), 8)
+    basis = linalg.fit_projection(emb.select("vec_id", "vec"), 8)
     return linalg.widen(linalg.project(emb.select("vec_id", "vec"), basis), "vec_id", "vec", 8, "svd_")
 
 
@@ -795,7 +794,7 @@ def _full_te_sql() -> str:
         return ", ".join(out)
     cols = ", ".join(COUNT_COLS)
     return f"""
-WITH t AS (SELECT p.user_id, p.item_id, p.score, {cols} FROM pairs p JOIN items USING (item_id) WHERE p.split = 'train'),
+WITH t AS (SELECT p.user_id, p.item_id, p.score, {cols} FROM pairs p LEFT JOIN items USING (item_id) WHERE p.split = 'train'),
 e AS (SELECT * FROM t WHERE user_id IN (SELECT user_id FROM t GROUP BY user_id HAVING count(*) >= 5)),
 u AS (SELECT user_id, {aggs('user_id')} FROM e GROUP BY user_id),
 i AS (SELECT item_id, {aggs('item_id')} FROM e GROUP BY item_id)
@@ -806,6 +805,6 @@ FROM pairs p LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN i ON i.item_id = p.i
 @register("target_encoding_full", _full_te_sql())
 def q_target_encoding_full(spark, d):
     cat = fx.items(spark, d).select("item_id", *COUNT_COLS)
-    model = stats.TargetEncoder(FULL_SPEC, min_count=5).fit(_train(spark, d).join(cat, "item_id"))
+    model = stats.TargetEncoder(FULL_SPEC, min_count=5).fit(_train(spark, d).join(cat, "item_id", "left"))
     test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
     return round_floats(model.transform(test))

@@ -1,9 +1,9 @@
 """Sources and sinks (IO1-IO8).
 
 Reads take an explicit schema (no inference pass over the data); CSV and Parquet are both
-accepted.  Predictions are always matched by key (``row_nr``), never by position (Q13):
-a submission is written in ``row_nr`` order with a range sort, so part files concatenate in
-order, and another run's prediction column is read back with its ``row_nr`` and joined.
+accepted.  Predictions are always matched by key (``row_nr``): a submission is written in ``row_nr`` order
+with a range sort, so part files concatenate in order; another run's predictions are read back with
+their ``row_nr``, which for a file of scores alone is the row's place in it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.folds import row_index
+
 INTERACTIONS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()),
                              T.StructField("score", T.IntegerType())])
 SIMILARITY = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_id_right", T.LongType()),
@@ -71,6 +73,32 @@ def fill_template(template: DataFrame, preds: DataFrame, key: Sequence[str], sco
 
 def read_prediction(spark: SparkSession, path: str, order_col: str = "row_nr", score_col: str = "score",
                     out: str = "other_score", fmt: str | None = None) -> DataFrame:
-    """Another run's predictions as ``(row_nr, out)`` for a key join (IO5)."""
-    schema = T.StructType([T.StructField(order_col, T.LongType()), T.StructField(score_col, T.DoubleType())])
-    return read_table(spark, path, schema, fmt).select(order_col, F.col(score_col).alias(out))
+    """Another run's predictions as ``(row_nr, out)`` for a key join (IO5).
+
+    A file with the key column keeps its keys.  For scores alone the row number is the row's place:
+    part files by their number, then the position inside the file.
+    """
+    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    header = spark.read.format(fmt).option("header", True).load(path).columns
+    if score_col not in header:
+        raise ValueError(f"{path} has no column {score_col!r}, only {header}")
+    kinds = {order_col: T.LongType(), score_col: T.DoubleType()}
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in header]
+    schema = T.StructType(fields) if fmt == "csv" else None
+    df = read_table(spark, path, schema, fmt)
+    if order_col in header:
+        return df.select(order_col, F.col(score_col).cast("double").alias(out))
+    name = F.col("_metadata.file_name")
+    placed = df.select(
+        F.col(score_col).cast("double").alias(out), name.alias("_name"),
+        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")), F.lit("9" * 18)),
+                   F.lit(0)).cast("long").alias("_part"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    return row_index(placed, ["_part", "_name", "_block", "_place"], order_col).select(order_col, out)
+
+
+def oof_table(preds: DataFrame, key: Sequence[str], pred_col: str = "pred", score_col: str = "score",
+              index_col: str = "idx") -> DataFrame:
+    """Out-of-fold table ``idx, preds, score`` (IO7): ``idx`` is the row's place in key order."""
+    return row_index(preds.select(*key, F.col(pred_col).alias("preds"), score_col), list(key), index_col).select(
+        index_col, "preds", score_col)

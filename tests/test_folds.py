@@ -61,3 +61,15 @@ def test_iter_folds(spark):
     for i, tr, va in folds.iter_folds(df, "fold", 3):
         assert tr.count() + va.count() == 500
         assert va.where(F.col("fold") != i).count() == 0
+
+
+def test_rows_without_stratum_or_group_stay(spark):
+    from ratingkit.operators import folds
+    rows = [(k, k % 3 if k % 4 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, s int")
+    got = folds.stratified_kfold(df, ["id"], "s", 5)
+    assert got.count() == 40
+    assert {r["count"] for r in got.where("s is null").groupBy("fold").count().collect()} == {2}
+    grouped = folds.group_kfold(df, "s", 2)
+    assert grouped.count() == 40 and grouped.where("s is null").select("fold").distinct().count() == 1
+    assert folds.stratified_kfold(df, ["id"], "s", 5, salt_digits=1).exceptAll(got).count() == 0

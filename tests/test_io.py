@@ -31,3 +31,25 @@ def test_fill_template_and_column_check(spark):
     assert got == {1: 7.5, 2: None}
     chk = {(r.side, r.column): r.present for r in catalog.column_check(tmpl, tmpl.drop("score")).collect()}
     assert chk[("train", "score")] and not chk[("test", "score")]
+
+
+def test_scores_alone_read_back_by_place(spark):
+    out = tempfile.mkdtemp(prefix="ratingkit-io-")
+    preds = spark.createDataFrame([(i, float(i) / 7) for i in range(500)], "row_nr long, score double").repartition(5)
+    io.write_submission(preds, f"{out}/sub")
+    back = io.read_prediction(spark, f"{out}/sub", fmt="csv")
+    got = {r.row_nr: r.other_score for r in back.collect()}
+    assert got == {i: float(i) / 7 for i in range(500)}
+
+
+def test_missing_score_column_is_an_error(spark):
+    import pytest
+    out = tempfile.mkdtemp(prefix="ratingkit-io-")
+    spark.range(3).write.option("header", True).csv(f"{out}/x")
+    with pytest.raises(ValueError, match="score"):
+        io.read_prediction(spark, f"{out}/x", fmt="csv")
+
+
+def test_oof_table(spark):
+    df = spark.createDataFrame([(2, 1, 5, 4.5), (1, 1, 3, 3.5)], "user_id long, item_id long, score int, pred double")
+    assert [tuple(r) for r in io.oof_table(df, ["user_id", "item_id"]).orderBy("idx").collect()] == [(0, 3.5, 3), (1, 4.5, 5)]

@@ -107,3 +107,9 @@ def test_flagship_matches_pandas(spark):
         assert got[f] == pytest.approx(np.sqrt(((val.score - val.pred) ** 2).mean()), abs=1e-6)
     allv = pd.concat(parts)
     assert got[-1] == pytest.approx(np.sqrt(((allv.score - allv.pred) ** 2).mean()), abs=1e-6)
+
+
+def test_rmse_by_fold_ignores_missing_predictions(spark):
+    from ratingkit.operators import evaluate
+    df = spark.createDataFrame([(0, 5, 3.0), (0, 5, None), (0, 5, 3.0)], "fold int, score int, pred double")
+    assert {(r.fold, r.n_rows, r.rmse) for r in evaluate.rmse_by_fold(df).collect()} == {(0, 3, 2.0), (-1, 3, 2.0)}
