@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from .common import byte_view, drop_ids, narrow, pieces, prepare, staged
 
 NGRAMS = (3, 4, 5, 6, 7)
 BITS = 20
+SLICE_BITS = 16
 N_FEATURES = 1 << 12
 FIT_ROWS = 8192
 THRESHOLD = 0.7
@@ -122,8 +124,14 @@ class ToxicityModel:
         return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def bucket_counts(rows: DataFrame) -> DataFrame:
-    """``(bucket, toxic, clean)``: training documents that contain each bucket."""
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Training documents that contain each bucket, of label 1 and of label 0: an array of fixed size.
+
+    Every task adds up its documents and sends its counts as compressed slices; slices are added in
+    two steps, so that no task meets those of all tasks.
+    """
+    width = 1 << SLICE_BITS
+
     def run(batches):
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
@@ -134,13 +142,31 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
                 side = toxic[i:j][doc]
                 counts[0] += np.bincount(bucket[side], minlength=1 << BITS)
                 counts[1] += np.bincount(bucket[~side], minlength=1 << BITS)
-        seen = np.flatnonzero(counts.any(axis=0))
-        for k in range(0, len(seen), 1 << 16):
-            s = seen[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(counts[0, s]), pa.array(counts[1, s])],
-                                             ["bucket", "toxic", "clean"])
-    parts = rows.select("text", "toxic").mapInArrow(run, "bucket int, toxic long, clean long")
-    return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        if counts.any():
+            for k, part in enumerate(counts.reshape(-1, width)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([_squeeze(part)], pa.binary())], ["slice", "counts"])
+
+    def add(key, table):
+        total = sum(_widen(c) for c in table.column("counts").to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_squeeze(total)], pa.binary())})
+    schema = "slice int, counts binary"
+    parts = rows.select("text", "toxic").mapInArrow(run, schema)
+    some = parts.groupBy("slice", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("salt")).applyInArrow(add, schema)
+    out = np.zeros((2 * (1 << BITS) // width, width), np.int64)
+    for r in some.groupBy("slice").applyInArrow(add, schema).collect():
+        out[r["slice"]] = _widen(r["counts"])
+    return out.reshape(2, -1)
+
+
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts as compressed byte planes: most are small."""
+    return zstandard.ZstdCompressor(level=3).compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _widen(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows: int = FIT_ROWS,
@@ -156,16 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows:
     n_toxic, n_clean = n_toxic or 0, n_rows - (n_toxic or 0)
     if not n_toxic or not n_clean:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), math.log((n_toxic + 1) / (n_clean + 1)))
-    counts = staged(bucket_counts(own.join(given, "doc_id")), "bucket_counts")
-    # at most 2 ** BITS rows; the driver gets the chosen ones
-    p, q = (F.col(c) + F.lit(SMOOTHING) for c in ("toxic", "clean"))
-    total = counts.agg(F.sum(p), F.sum(q)).first()
-    ratio = F.log(p / F.lit(float(total[0]))) - F.log(q / F.lit(float(total[1])))
-    best = counts.select("bucket", ratio.alias("r"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("z")).orderBy(
-        F.desc("z"), "bucket").limit(n_features).collect()
-    buckets = np.array(sorted(r["bucket"] for r in best), np.int64)
+    # merge join at every size: texts of labelled rows are shuffled, never broadcast
+    p, q = (c + SMOOTHING for c in bucket_counts(own.join(given.hint("merge"), "doc_id")))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    clear = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
+    buckets = np.sort(np.argsort(-clear, kind="stable")[:n_features])
     r = np.zeros(1 << BITS)
-    r[[x["bucket"] for x in best]] = [x["r"] for x in best]
+    r[buckets] = ratio[buckets]
     # bounded, balanced sample of rows for the regression
     picked = None
     for side in (0, 1):
