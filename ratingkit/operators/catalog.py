@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
+from .folds import row_index
 
-MAX_REGEX_VOCAB = 100_000   # a regex-mode vocabulary above this is refused (use mode="exact")
 REGEX_CHUNK = 512           # literal patterns per expression; larger vocabularies take several passes
 
 
@@ -52,17 +53,15 @@ def indicators(df: DataFrame, id_col: str, columns: Sequence[str], sep: str = ",
 
 
 def _regex_indicators(df: DataFrame, id_col: str, col: str, sep: str) -> DataFrame:
-    vocab_df = vocabulary(df, col, sep)
-    n = vocab_df.count()
-    if n > MAX_REGEX_VOCAB:
-        raise ValueError(f"{col}: {n} distinct tokens; regex mode tests every token on every row, use mode='exact'")
-    vocab = sorted(r[0] for r in vocab_df.collect())
+    # every token is tested on every row; the driver holds one chunk of the vocabulary at a time
+    vocab = cut_lineage(vocabulary(df, col, sep))
+    n = max(1, -(-vocab.count() // REGEX_CHUNK))
     base = df.select(id_col, col)
     parts = []
-    for i in range(0, len(vocab), REGEX_CHUNK):
-        chunk = vocab[i:i + REGEX_CHUNK]
+    for i in range(n):
+        chunk = sorted(r[0] for r in vocab.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i).collect())
         # literal patterns: each compiled once per task, evaluated map-side, no join
-        hits = F.array_compact(F.array(*[F.when(F.col(col).rlike(t), F.lit(t)) for t in chunk]))
+        hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(col).rlike(t), F.lit(t)) for t in chunk]))
         parts.append(base.select(id_col, F.explode(hits).alias("token")))
     out = parts[0]
     for p in parts[1:]:
@@ -85,10 +84,10 @@ def category_code(df: DataFrame, col: str, order_col: str, out: str | None = Non
     """
     out = out or f"{col}_code"
     vals = df.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_freq"))
-    order = {"first": [F.col("_first")], "alphabetical": [F.col(col)],
-             "frequency": [F.col("_freq").desc(), F.col(col)]}[how]
-    codes = vals.where(F.col(col).isNotNull()).select(
-        col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int").alias(out))
+    order = {"first": ["_first", col], "alphabetical": [col], "frequency": ["_less", col]}[how]
+    vals = vals.where(F.col(col).isNotNull()).select(col, "_first", (-F.col("_freq")).alias("_less"))
+    # a range sort, not one window over all values
+    codes = row_index(vals, order, "_code").select(col, F.col("_code").cast("int").alias(out))
     return df.join(codes, col, "left")
 
 

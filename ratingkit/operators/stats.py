@@ -196,6 +196,41 @@ def severity_scale(df: DataFrame, item_mean: str, user_mean: str, by: Sequence[s
               .withColumn(calibrated_col, F.col(item_mean) + F.col(severity_col)))
 
 
+class SeverityScale:
+    """SEV1 as fit and transform: the mean of item means is taken once from the fitted frame.
+
+    ``scope="global"`` keeps one constant, ``"user"`` one per user; ``compat=True`` takes it anew from
+    every frame given to ``transform``.  A user the fit has not seen gets nulls under ``"user"``.
+    """
+
+    def __init__(self, item_mean: str, user_mean: str, scope: str = "global", user_col: str = "user_id",
+                 compat: bool = False, mean_col: str = "item_mean_mean", severity_col: str = "severity_scale",
+                 calibrated_col: str = "calibrated_item_mean"):
+        if scope not in ("global", "user"):
+            raise ValueError(f"scope must be 'global' or 'user', not {scope!r}")
+        self.item_mean, self.user_mean, self.scope, self.user_col, self.compat = item_mean, user_mean, scope, user_col, compat
+        self.names = (mean_col, severity_col, calibrated_col)
+        self.constant: float | DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> SeverityScale:
+        if self.scope == "global":
+            self.constant = global_mean(df, self.item_mean)
+        else:
+            self.constant = df.groupBy(self.user_col).agg(F.avg(self.item_mean).alias(self.names[0]))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.compat:
+            self.fit(df)
+        mean_col, severity_col, calibrated_col = self.names
+        if self.scope == "global":
+            df = df.withColumn(mean_col, F.lit(self.constant).cast("double"))
+        else:
+            df = df.join(self.constant, self.user_col, "left")
+        return (df.withColumn(severity_col, F.col(self.user_mean) - F.col(mean_col))
+                  .withColumn(calibrated_col, F.col(self.item_mean) + F.col(severity_col)))
+
+
 def ratios(df: DataFrame, numerators: Sequence[str], denominator: str, suffix: str = "_rate") -> DataFrame:
     """``num / den`` per column (F9); a zero denominator gives null instead of an ANSI error."""
     return df.withColumns({f"{n}{suffix}": F.try_divide(F.col(n).cast("double"), F.col(denominator))

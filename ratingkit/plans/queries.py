@@ -808,3 +808,52 @@ def q_target_encoding_full(spark, d):
     model = stats.TargetEncoder(FULL_SPEC, min_count=5).fit(_train(spark, d).join(cat, "item_id", "left"))
     test = fx.split_frame(spark, d, "test").select("user_id", "item_id")
     return round_floats(model.transform(test))
+
+
+# ---------------------------------------------------------------- SEV1 fitted constant, EV8 by count, A11 and SP8 contents
+
+@register("severity_fitted", """
+WITH t AS (SELECT user_id, item_id, score FROM pairs WHERE split = 'train'),
+e AS (SELECT * FROM t WHERE user_id IN (SELECT user_id FROM t GROUP BY user_id HAVING count(*) >= 5)),
+u AS (SELECT user_id, avg(score) AS um FROM e GROUP BY user_id), i AS (SELECT item_id, avg(score) AS im FROM e GROUP BY item_id),
+g AS (SELECT avg(i.im) AS mm FROM t LEFT JOIN i ON i.item_id = t.item_id)
+SELECT p.user_id, p.item_id, round(g.mm, 6) AS item_mean_mean, round(u.um - g.mm, 6) AS severity_scale,
+       round(i.im + (u.um - g.mm), 6) AS calibrated_item_mean
+FROM pairs p CROSS JOIN g LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN i ON i.item_id = p.item_id WHERE p.split = 'test'""")
+def q_severity_fitted(spark, d):
+    spec = {("user_id", "score"): ["mean"], ("item_id", "score"): ["mean"]}
+    train = _train(spark, d)
+    enc = stats.TargetEncoder(spec, 5).fit(train)
+    scale = stats.SeverityScale("te_item_id_mean_score", "te_user_id_mean_score").fit(enc.transform(train))
+    test = enc.transform(fx.split_frame(spark, d, "test").select("user_id", "item_id"))
+    return round_floats(scale.transform(test).drop("te_item_id_mean_score", "te_user_id_mean_score"))
+
+
+@register("residual_density_by_count", flagship.PRED_CTES + """,
+s AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS cnt, round(avg(pred - score), 6) AS dm FROM p GROUP BY user_id),
+bx AS (SELECT min(cnt) AS xlo, max(cnt) AS xhi, min(dm) AS ylo, max(dm) AS yhi FROM s),
+bw AS (SELECT xlo, ylo, CASE WHEN xhi > xlo THEN (xhi - xlo) / 20 ELSE 1.0 END AS xw,
+              CASE WHEN yhi > ylo THEN (yhi - ylo) / 20 ELSE 1.0 END AS yw FROM bx)
+SELECT CAST(least(greatest(floor((cnt - xlo) / xw), 0), 19) AS INT) AS x_bin,
+       CAST(least(greatest(floor((dm - ylo) / yw), 0), 19) AS INT) AS y_bin, count(*) AS count
+FROM s, bw WHERE dm IS NOT NULL GROUP BY 1, 2""")
+def q_residual_density_by_count(spark, d):
+    return ev.residual_density_by_count(ev.residuals(_oof_preds(spark, d), "score", "pred"))
+
+
+@register("user_sentence_words", """
+WITH w AS (SELECT user_id, CAST(item_id AS VARCHAR) AS it, unnest(range(1, score + 1)) AS rep FROM pairs WHERE split = 'train')
+SELECT user_id, 0::BIGINT AS copy, count(*) AS n_words, md5(string_agg(it, ' ' ORDER BY it, rep)) AS words_md5 FROM w GROUP BY user_id
+UNION ALL
+SELECT user_id, 1::BIGINT, count(*), md5(string_agg(it, ' ' ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), it, CAST(rep AS VARCHAR))), it))
+FROM w GROUP BY user_id""")
+def q_user_sentence_words(spark, d):
+    s = embed.user_sentences(_train(spark, d))
+    return s.select("user_id", F.col("copy").cast("bigint").alias("copy"), F.size("sentence").cast("bigint").alias("n_words"),
+                    F.md5(F.array_join("sentence", " ")).alias("words_md5"))
+
+
+@register("oof_table", flagship.PRED_CTES + """
+SELECT row_number() OVER (ORDER BY user_id, item_id) - 1 AS idx, round(pred, 6) AS preds, score FROM p""")
+def q_oof_table(spark, d):
+    return round_floats(rio.oof_table(_oof_preds(spark, d), ["user_id", "item_id"]))
