@@ -4,13 +4,14 @@ Two documents link when their shingle sets reach the threshold (``num / den``).
 of tokens two linked sets share a token among their first ``n - ceil(t n) + 1``.  Here several orders
 are used: each puts tokens of the same frequency class in the order of another hash, rare classes
 first (the classes come from counts of all documents, in a table of fixed size).  The first order
-makes candidates; a pair survives only if it also shares a prefix token under every other order, if
-sizes allow it, and if the parity sketches allow it (``|x ^ y| >= popcount(px ^ py)``).  Survivors are
-verified on whole sets.  All filters are lossless.
+makes candidates; a pair survives only if sizes and parity sketches allow it
+(``|x ^ y| >= popcount(px ^ py)``) and if it also shares a prefix token under every other order.
+Survivors are verified on whole sets.  All filters are lossless.
 
 What is asked for is components, so equal sets are one class from the start, and pairs that cannot
 change a component are not made.  Round one links the members of each token list to the list's
-leader.  Round two makes the pairs of a list whose members still lie in different components, lists
+leader: of the members whose prefix reaches the most frequent class, one that differs from list to
+list.  Round two makes the pairs of a list whose members still lie in different components, lists
 being cut into blocks so that no task meets a long one whole.
 
 Words: A-Z lower-cased, runs of bytes outside ``[\\x20\\x09-\\x0D]``.  Tokens and sets are known by
@@ -39,6 +40,8 @@ ORDERS = 3
 SKETCH_BITS = 21
 SLICE_BITS = 15
 PARITY_WORDS = 16
+# Largest Bloom filter of the ids whose sets are fetched for verification (64 MB).
+FILTER_BITS = 1 << 29
 # Members per block of a long token list.
 BLOCK = 2048
 
@@ -47,6 +50,7 @@ _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
+_Q = [f"q{k}" for k in range(PARITY_WORDS)]
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +171,17 @@ def _classes(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _fresh(seen: set[int], sid: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Wanted rows whose set the task has not met before."""
+    out = wanted.copy()
+    for k, s in enumerate(sid.tolist()):
+        if s in seen:
+            out[k] = False
+        elif wanted[k]:
+            seen.add(s)
+    return out
+
+
 def _tokens(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
     """Prefix tokens under the first order: ``(token, sid, n, reach)``; each set once per task."""
     def run(batches):
@@ -176,12 +191,7 @@ def _tokens(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
             for i, j, raw, off in _texts(batch):
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
-                fresh = known[i:j].copy()
-                for k, s in enumerate(sid.tolist()):
-                    if s in seen:
-                        fresh[k] = False
-                    else:
-                        seen.add(s)
+                fresh = _fresh(seen, sid, known[i:j])
                 keep = fresh[row]
                 row, token, n = row[keep], token[keep], np.where(fresh, n, 0)
                 at, reach = prefix(row, token, n, sent.value, 0, num, den)
@@ -191,35 +201,72 @@ def _tokens(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
     return own.mapInArrow(run, "token long, sid long, n int, reach int")
 
 
-def _bodies(rows: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
-    """Whole sets, prefixes under the further orders and parity sketches of the rows given."""
+def _sketches(own: DataFrame, words: int) -> DataFrame:
+    """``(sid, n, q0, ...)``: size and parity sketch of each set."""
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            wanted = batch.column("sid").to_numpy(zero_copy_only=False)
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for i, j, raw, off in _texts(batch):
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
-                right = sid == wanted[i:j]
-                keep = right[row]
-                row, token, n = row[keep], token[keep], np.where(right, n, 0)
-                cols = [pa.array(sid), pa.array(n.astype(np.int32)), _lists(token.view(np.int64), n)]
+                fresh = _fresh(seen, sid, known[i:j] & (n > 0))
+                bits = PARITY_WORDS * 64
+                bit = (mix(token.copy()) % np.uint64(bits)).astype(np.int64)
+                odd = (np.bincount(row * bits + bit, minlength=(j - i) * bits) & 1).astype(np.uint8)
+                packed = np.packbits(odd).view(np.int64).reshape(j - i, PARITY_WORDS)
+                cols = [pa.array(sid), pa.array(n.astype(np.int32)),
+                        *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(PARITY_WORDS))]
+                yield pa.RecordBatch.from_arrays(cols, ["sid", "n", *_Q]).filter(pa.array(fresh))
+    rows = own.mapInArrow(run, "sid long, n int, " + ", ".join(f"{q} long" for q in _Q))
+    return rows.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q)))
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter (two bits an id) as an array of booleans: 16 bits per id, ``FILTER_BITS`` at most.
+
+    Beyond that more ids pass by chance, which costs work and changes no result.
+    """
+    bits = min(FILTER_BITS, max(1 << 20, 1 << (16 * ids.count()).bit_length()))
+    key = F.xxhash64(column)
+    place = F.explode(F.array(F.pmod(key, F.lit(bits)), F.pmod(F.shiftrightunsigned(key, 32), F.lit(bits)))).alias("p")
+    blocks = ids.select(place).groupBy(F.floor(F.col("p") / 32768).cast("int").alias("b")).agg(
+        F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("m"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for row in blocks.collect():
+        out[row["b"]] = np.frombuffer(row["m"], np.uint8)
+    return out.reshape(-1)
+
+
+def _bodies(own: DataFrame, wanted, sent, words: int, num: int, den: int) -> DataFrame:
+    """Whole sets and their prefixes under the further orders, of the rows whose id passes the filter.
+
+    A scan with a broadcast filter of bounded size, so that texts are not shuffled.
+    """
+    def run(batches):
+        have = wanted.value
+        size = np.int64(len(have) * 8 - 1)
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            passed = np.ones(len(key), bool)
+            for at in (key & size, (key.view(np.uint64) >> np.uint64(32)).astype(np.int64) & size):
+                passed &= (have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            if not passed.any():
+                continue
+            for i, j, raw, off in _texts(batch.filter(pa.array(passed))):
+                row, token = shingles(raw, off, words)
+                n, sid = set_ids(row, token, j - i)
+                cols = [pa.array(sid), _lists(token.view(np.int64), n)]
                 for k in range(1, ORDERS):
                     at, _ = prefix(row, token, n, sent.value, k, num, den)
                     cols.append(_lists(token[at].view(np.int64), np.bincount(row[at], minlength=j - i)))
-                odd = np.zeros((j - i) * PARITY_WORDS * 64, np.uint8)
-                bit = (mix(token.copy()) >> np.uint64(64 - 10)).astype(np.int64) % (PARITY_WORDS * 64)
-                np.bitwise_xor.at(odd, row * PARITY_WORDS * 64 + bit, 1)
-                packed = np.packbits(odd).view(np.int64).reshape(j - i, PARITY_WORDS)
-                cols += [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(PARITY_WORDS)]
-                yield pa.RecordBatch.from_arrays(cols, _BODY_NAMES).filter(pa.array(right))
-    return rows.mapInArrow(run, "sid long, n int, tokens array<long>, "
-                           + "".join(f"order{k} array<long>, " for k in range(1, ORDERS))
-                           + ", ".join(f"q{k} long" for k in range(PARITY_WORDS)))
+                yield pa.RecordBatch.from_arrays(cols, _BODY_NAMES)
+    rows = own.where(F.col("doc_id").isNotNull()).select("text", F.xxhash64("doc_id").alias("key"))
+    return rows.mapInArrow(run, "sid long, tokens array<long>, "
+                           + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS)))
 
 
-_BODY_NAMES = ["sid", "n", "tokens", *(f"order{k}" for k in range(1, ORDERS)),
-               *(f"q{k}" for k in range(PARITY_WORDS))]
-_Q = [f"q{k}" for k in range(PARITY_WORDS)]
+_BODY_NAMES = ["sid", "tokens", *(f"order{k}" for k in range(1, ORDERS))]
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -237,21 +284,30 @@ def _parity_fits(a: str, b: str, num: int, den: int) -> Column:
     return differ <= both - 2 * F.ceil(F.lit(num) * both / F.lit(num + den) - 1e-9)
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of set ids that link: cheap filters on narrow columns, then whole sets."""
-    narrow_ = bodies.select("sid", "n", *_Q, *(f"order{k}" for k in range(1, ORDERS)))
-    left = pairs.join(narrow_.select(F.col("sid").alias("a"), F.struct(*[c for c in narrow_.columns]).alias("x")), "a")
-    both = left.join(narrow_.select(F.col("sid").alias("b"), F.struct(*[c for c in narrow_.columns]).alias("y")), "b")
-    shared = [F.arrays_overlap(f"x.order{k}", f"y.order{k}") for k in range(1, ORDERS)]
-    ok = _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den)
-    for s in shared:
-        ok &= s
-    likely = staged(both.where(ok).select("a", "b"), "likely_pairs")
-    sets = bodies.select("sid", "tokens")
-    joined = likely.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("s")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("tokens").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    return joined.where(F.lit(den) * common >= F.lit(num) * (F.size("s") + F.size("t") - common)).select("a", "b")
+def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of set ids that sizes and parity sketches allow."""
+    kept = F.struct("n", *_Q)
+    both = pairs.join(sketches.select(F.col("sid").alias("a"), kept.alias("x")), "a").join(
+        sketches.select(F.col("sid").alias("b"), kept.alias("y")), "b")
+    return both.where(_sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den)).select("a", "b")
+
+
+def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
+    """Pairs that share a prefix token under every further order, and link by their whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = staged(ids.join(sets, "sid"), "needed_sets")
+    wanted = own.sparkSession.sparkContext.broadcast(id_filter(needed, "rep"))
+    bodies = _bodies(own, wanted, sent, words, num, den)
+    if needed.where("copies > 1").limit(1).count():     # the id of a needed set repeats: one body each
+        bodies = bodies.dropDuplicates(["sid"])
+    bodies = staged(bodies, "candidate_sets")
+    cols = F.struct(*_BODY_NAMES[1:])
+    both = pairs.join(bodies.select(F.col("sid").alias("a"), cols.alias("x")), "a").join(
+        bodies.select(F.col("sid").alias("b"), cols.alias("y")), "b")
+    for k in range(1, ORDERS):
+        both = both.where(F.arrays_overlap(f"x.order{k}", f"y.order{k}"))
+    common = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x.tokens") + F.size("y.tokens") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -263,26 +319,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     profile = staged(_profile(own, words), "profiles")
     sent = spark.sparkContext.broadcast(_classes(profile))          # 2 ** SKETCH_BITS bytes
     rows = profile.where(F.col("slice").isNull()).select("doc_id", "n", "sid")
-    sets = staged(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(
-        F.min("doc_id").alias("rep")), "sets")
+    counted = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    per_id = counted.groupBy("sid", "doc_id").agg(F.count("*").alias("copies"))
+    sets = staged(per_id.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "copies")).alias("m")).select(
+        "sid", "m.rep", "m.copies"), "sets")
 
     by_token = Window.partitionBy("token")
-    lists = _tokens(own, sent, words, num, den).withColumn("members", F.count("*").over(by_token)).where(
-        "members > 1")
-    lead = F.max(F.struct("reach", "sid", "n")).over(by_token)
-    lists = lists.withColumn("lead", lead)
+    lists = _tokens(own, sent, words, num, den).withColumn("members", F.count("*").over(by_token)).withColumn(
+        "lead", F.max(F.struct("reach", F.xxhash64("token", "sid").alias("any"), "sid", "n")).over(by_token)).where("members > 1")
     lists = staged(lists.select("token", "sid", "n", "members", F.col("lead.sid").alias("leader"),
-                                F.col("lead.n").alias("leader_n")).where("members > 1"), "token_lists")
-    needed = lists.select("sid").distinct().join(sets, "sid")
-    wanted = own.join(needed, own["doc_id"] == needed["rep"]).select("text", "sid")
-    bodies = staged(_bodies(wanted, sent, words, num, den).dropDuplicates(["sid"]), "candidate_sets")
+                                F.col("lead.n").alias("leader_n")), "token_lists")
+    members = lists.select("sid").distinct()
+    sketches = staged(_sketches(own, words).join(members, "sid", "left_semi"), "sketches")
 
     star = lists.where((F.col("sid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("leader_n"), num, den)).select(
         F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
-    links = staged(verified(star, bodies, num, den), "star_links")
-    roots = components(links)
-    cross = _cross_pairs(lists, bodies, roots, num, den)
-    more = staged(verified(cross, bodies, num, den), "cross_links")
+    star = staged(likely(star, sketches, num, den), "star_pairs")
+    links = staged(verified(star, own, sets, sent, words, num, den), "star_links")
+    cross = staged(_cross_pairs(lists, sketches, components(links), num, den), "cross_pairs")
+    more = staged(verified(cross, own, sets, sent, words, num, den), "cross_links")
     roots = staged(components(links.unionByName(more)), "roots")
 
     # smallest id per component, then every row by its set
@@ -290,19 +345,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         "root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("sid", "component")
-    linked = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(named, "sid")
+    linked = counted.join(named, "sid")
     alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumn("component", F.col("doc_id"))
     return linked.select("doc_id", "n", "component").unionByName(alone.select("doc_id", "n", "component")).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _cross_pairs(lists: DataFrame, bodies: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, sketches: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a token list that lie in different components so far, block by block."""
     in_comp = lists.select("token", "sid", "members").join(
         roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     in_comp = staged(in_comp, "lists_by_component")
     mixed = in_comp.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = in_comp.join(mixed.select("token"), "token").join(bodies.select("sid", "n", *_Q), "sid")
+    open_ = in_comp.join(mixed.select("token"), "token").join(sketches, "sid")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
