@@ -19,7 +19,6 @@ judged one by one; an empty benchmark or corpus gives no hits or no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, StringType, LongType
 
 from .common import byte_view, drop_ids, gather_ranges, narrow, pieces, prepare, range_hashes, spans, staged
 
