@@ -111,7 +111,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import cut_repeats
-    return cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return cut_repeats(_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
 @register("op9_line_spread", r"""
