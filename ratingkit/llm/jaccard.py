@@ -287,8 +287,8 @@ def _parity_fits(a: str, b: str, num: int, den: int) -> Column:
 def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` of set ids that sizes and parity sketches allow."""
     kept = F.struct("n", *_Q)
-    both = pairs.join(sketches.select(F.col("sid").alias("a"), kept.alias("x")), "a").join(
-        sketches.select(F.col("sid").alias("b"), kept.alias("y")), "b")
+    both = pairs.join(sketches.select(F.col("sid").alias("a"), kept.alias("x")).hint("merge"), "a").join(
+        sketches.select(F.col("sid").alias("b"), kept.alias("y")).hint("merge"), "b")
     return both.where(_sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den)).select("a", "b")
 
 
@@ -302,8 +302,9 @@ def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, sent, words: int
         bodies = bodies.dropDuplicates(["sid"])
     bodies = staged(bodies, "candidate_sets")
     cols = F.struct(*_BODY_NAMES[1:])
-    both = pairs.join(bodies.select(F.col("sid").alias("a"), cols.alias("x")), "a").join(
-        bodies.select(F.col("sid").alias("b"), cols.alias("y")), "b")
+    # merge joins at every size: sets are shuffled by their id, never broadcast, nor are the pairs
+    both = pairs.join(bodies.select(F.col("sid").alias("a"), cols.alias("x")).hint("merge"), "a").join(
+        bodies.select(F.col("sid").alias("b"), cols.alias("y")).hint("merge"), "b")
     for k in range(1, ORDERS):
         both = both.where(F.arrays_overlap(f"x.order{k}", f"y.order{k}"))
     common = F.size(F.array_intersect("x.tokens", "y.tokens"))
@@ -354,17 +355,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def _cross_pairs(lists: DataFrame, sketches: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a token list that lie in different components so far, block by block."""
     in_comp = lists.select("token", "sid", "members").join(
-        roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     in_comp = staged(in_comp, "lists_by_component")
     mixed = in_comp.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = in_comp.join(mixed.select("token"), "token").join(sketches, "sid")
+    open_ = in_comp.join(mixed.select("token").hint("merge"), "token").join(sketches.hint("merge"), "sid")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     x = open_.withColumn("other", every).alias("x")
     y = open_.withColumn("other", every).alias("y")
     # a pair meets once: in (block of x, block of y), x being the one with the smaller id
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block"))
+    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block"))
                  & (F.col("x.block") == F.col("y.other")) & (F.col("x.sid") < F.col("y.sid"))
                  & (F.col("x.root") != F.col("y.root"))
                  & _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den))
