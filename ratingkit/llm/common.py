@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ensure_checkpoint_dir, ship_package
 
@@ -53,10 +54,19 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *more)
 
 
-def drop_ids(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``bad.doc_id``; null ids match null ids."""
-    b = bad.select(F.col("doc_id").alias("__llm_id")).distinct()
-    return docs.join(b, docs[id_col].eqNullSafe(b["__llm_id"]), "left_anti")
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` whose own text ``keep`` (texts of a batch to booleans) marks, all columns as they were.
+
+    The verdict is taken where the row is, so null and repeated ids cannot mix up rows.
+    """
+    names, at = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+    fields = docs.schema.fields
+    kept = docs.toDF(*names).mapInArrow(run, StructType([StructField(n, f.dataType) for n, f in zip(names, fields)]))
+    return kept.select(*(F.col(n).alias(f.name, metadata=f.metadata) for n, f in zip(names, fields)))
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

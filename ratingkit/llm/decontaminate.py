@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, drop_ids, gather_ranges, narrow, pieces, prepare, range_hashes, spans, staged
+from .common import byte_view, gather_ranges, keep_rows, narrow, pieces, prepare, range_hashes, spans, staged
 
 WINDOW = 13
 # Benchmark text bytes that one pass over the corpus takes to the executors.
@@ -371,8 +371,32 @@ def judged(hits: DataFrame) -> DataFrame:
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  **options) -> DataFrame:
-    """``docs`` without contaminated documents, all columns as they were."""
-    hits = judged(contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options))
-    return drop_ids(docs, staged(hits.where("contaminated").select("doc_id"), "contaminated"), id_col)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text") -> DataFrame:
+    """``docs`` without contaminated rows, all columns as they were."""
+    spark = docs.sparkSession
+    prepare(spark)
+    blocks = _blocks(benchmark, window, block_bytes, item_col, item_text_col)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        return keep_rows(docs, text_col, _clean(spark.sparkContext.broadcast(first)))
+    # several blocks: rows get numbers, and hits are united per number
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    keyed = staged(docs.select(row, docs[text_col].alias("text"), F.monotonically_increasing_id().alias("no")),
+                   "decontaminate_docs")
+    hits = judged(contamination(keyed, benchmark, window, block_bytes, "no", "text", item_col, item_text_col))
+    bad = staged(hits.where("contaminated").select(F.col("doc_id").alias("no")), "contaminated")
+    return keyed.join(bad, "no", "left_anti").select("row.*")
+
+
+def _clean(sent):
+    def keep(column):
+        raw, off = byte_view(column)
+        out = np.ones(len(column), bool)
+        for i, j in pieces(off):
+            shard = Shard.build(raw[off[i]:off[j]], off[i:j + 1] - off[i], sent.value)
+            n_hit = window_hits(shard, sent.value)[0]
+            out[i:j] = (n_hit == 0) | (20 * n_hit < shard.n_words)
+        return out
+    return keep

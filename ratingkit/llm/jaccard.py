@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_view, drop_ids, gather_ranges, mix, narrow, pieces, prepare, range_hashes, staged
+from .common import byte_view, gather_ranges, mix, narrow, pieces, prepare, range_hashes, staged
 from .components import components
 
 ORDERS = 3
@@ -121,8 +121,9 @@ def _texts(batch):
 
 
 def _profile(own: DataFrame, words: int) -> DataFrame:
-    """Per row ``(doc_id, n, sid)``; and slices of the task's token counts (``slice``, ``counts``)."""
+    """Per row ``(doc_id, h1, h2, n, sid)``, the text by two hashes; and slices of the task's token counts (``slice``, ``counts``)."""
     id_type = own.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "h1", "h2", "n", "sid", "slice", "counts"]
 
     def run(batches):
         seen, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -134,18 +135,20 @@ def _profile(own: DataFrame, words: int) -> DataFrame:
                 np.add.at(seen, token >> np.uint64(64 - SKETCH_BITS), 1)
                 none = pa.nulls(j - i)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sid),
-                    none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "sid", "slice", "counts"])
+                    *(batch.column(c).slice(i, j - i) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()),
+                    pa.array(sid), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
             parts = seen.reshape(-1, 1 << SLICE_BITS)
             for k in range(0, len(parts), 8):
                 own_ = parts[k:k + 8]
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(len(own_), kind), pa.nulls(len(own_), pa.int64()), pa.nulls(len(own_), pa.int64()),
+                    pa.nulls(len(own_), kind), pa.nulls(len(own_), pa.int64()), pa.nulls(len(own_), pa.int32()),
+                    pa.nulls(len(own_), pa.int64()), pa.nulls(len(own_), pa.int64()),
                     pa.array(np.arange(k, k + len(own_)), pa.int32()),
                     pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in own_], pa.binary())],
-                    ["doc_id", "n", "sid", "slice", "counts"])
-    return own.mapInArrow(run, f"doc_id {id_type}, n long, sid long, slice int, counts binary")
+                    names)
+    rows = own.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
+    return rows.mapInArrow(run, f"doc_id {id_type}, h1 long, h2 int, n long, sid long, slice int, counts binary")
 
 
 def _classes(profile: DataFrame) -> np.ndarray:
@@ -314,12 +317,18 @@ def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, sent, words: int
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    return _row_components(docs, words, num, den, id_col, text_col).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row ``(doc_id, h1, h2, n, sid, component, kept)``; ``kept``: the component's set that stays."""
     spark = docs.sparkSession
     prepare(spark)
     own = narrow(docs, id_col, text_col)
     profile = staged(_profile(own, words), "profiles")
     sent = spark.sparkContext.broadcast(_classes(profile))          # 2 ** SKETCH_BITS bytes
-    rows = profile.where(F.col("slice").isNull()).select("doc_id", "n", "sid")
+    rows = profile.where(F.col("slice").isNull()).select("doc_id", "h1", "h2", "n", "sid")
     counted = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     per_id = counted.groupBy("sid", "doc_id").agg(F.count("*").alias("copies"))
     sets = staged(per_id.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "copies")).alias("m")).select(
@@ -344,12 +353,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # smallest id per component, then every row by its set
     named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least, "root").select("sid", "component")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("component"), F.col("sid").alias("kept"))).alias("m"))
+    named = named.join(least, "root").select("sid", "m.component", "m.kept")
     linked = counted.join(named, "sid")
-    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumn("component", F.col("doc_id"))
-    return linked.select("doc_id", "n", "component").unionByName(alone.select("doc_id", "n", "component")).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumns(
+        {"component": F.col("doc_id"), "kept": F.col("sid")})
+    return linked.unionByName(alone)
 
 
 def _cross_pairs(lists: DataFrame, sketches: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
@@ -372,8 +381,15 @@ def _cross_pairs(lists: DataFrame, sketches: DataFrame, roots: DataFrame, num: i
     return met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component (its smallest id), all columns as they were."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return drop_ids(docs, staged(gone, "near_copies"), id_col)
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component (its smallest id, one set of it), all columns as they were.
+
+    A verdict is on an id with its text, so other texts of the id stay; equal rows share it and stay together.
+    """
+    found = _row_components(docs, words, num, den, id_col, text_col)
+    gone = staged(found.where((F.col("doc_id") != F.col("component")) | (F.col("sid") != F.col("kept"))).select(
+        F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "near_copies")
+    text = docs[text_col]
+    return docs.join(gone, (docs[id_col] == gone["__id"]) & (F.xxhash64(text) == gone["__h1"])
+                     & (F.hash(text) == gone["__h2"]), "left_anti")

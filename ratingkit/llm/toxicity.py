@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, drop_ids, narrow, pieces, prepare, staged
+from .common import byte_view, keep_rows, narrow, pieces, prepare, staged
 
 NGRAMS = (3, 4, 5, 6, 7)
 BITS = 20
@@ -103,6 +103,13 @@ class ToxicityModel:
         doc, bucket = present(texts, chosen)
         return self.intercept + np.bincount(doc, self.weights[bucket], len(texts))
 
+    def scores(self, column: pa.Array, chosen: np.ndarray) -> np.ndarray:
+        texts, out = column.fill_null("").to_pylist(), []
+        for i, j in pieces(byte_view(column)[1], 256 << 10):
+            out.append(self.margins(texts[i:j], chosen))
+        z = np.concatenate(out) if out else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(doc_id, score)`` per row."""
         spark = docs.sparkSession
@@ -114,11 +121,7 @@ class ToxicityModel:
             model = sent.value
             chosen = model.weights != 0
             for batch in batches:
-                texts, out = batch.column("text").fill_null("").to_pylist(), []
-                for i, j in pieces(byte_view(batch.column("text"))[1], 256 << 10):
-                    out.append(model.margins(texts[i:j], chosen))
-                z = np.concatenate(out) if out else np.zeros(0)
-                score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                score = model.scores(batch.column("text"), chosen)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())],
                                                  ["doc_id", "score"])
         return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
@@ -232,6 +235,10 @@ def _regress(rows: DataFrame, buckets: np.ndarray, r: np.ndarray, reg: float) ->
 
 def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more, all columns as they were."""
-    bad = model.score(docs, id_col, text_col).where(F.col("score") >= threshold).select("doc_id")
-    return drop_ids(docs, staged(bad, "toxic_ids"), id_col)
+    """``docs`` without the rows that score ``threshold`` or more, all columns as they were."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(column):
+        return sent.value.scores(column, sent.value.weights != 0) < threshold
+    return keep_rows(docs, text_col, keep)

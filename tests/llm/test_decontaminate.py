@@ -82,6 +82,18 @@ def test_decontaminate_keeps_columns(spark):
     assert {str(r["doc_id"]) for r in kept.collect()} == {str(d) for d, *_ in rows} - bad
 
 
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 60])
+def test_decontaminate_is_by_row(spark, block):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, item, "s"), (None, "clean text", "s"), (4, item, "s"), (4, "clean text", "s"), (None, None, "s")]
+    bench = spark.createDataFrame([(1, item), (2, "other " + item)], "item_id long, text string")
+    docs = frame(spark, rows)
+    kept = D.decontaminate(docs, bench, block_bytes=block)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [
+        ("4", "clean text"), ("None", "None"), ("None", "clean text")]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = awkward_rows()

@@ -64,6 +64,14 @@ def test_near_duplicate_cases(spark):
     assert jaccard.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_keep_one_is_by_row(spark):
+    say = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(3, say("a"), "s"), (7, say("a") + " end", "s"), (7, say("b"), "s"), (None, say("a"), "s"),
+            (None, say("c"), "s"), (8, say("d"), "s"), (8, say("d") + " end", "s")]
+    kept = sorted((str(r["doc_id"]), r["text"][:2]) for r in jaccard.keep_one(frame(spark, rows)).collect())
+    assert kept == [("3", "a0"), ("7", "b0"), ("8", "d0"), ("None", "a0"), ("None", "c0")]
+
+
 def test_prefix_filter_is_lossless():
     rng = np.random.default_rng(4)
     classes = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)

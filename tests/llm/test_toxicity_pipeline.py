@@ -60,6 +60,16 @@ def test_removal_keeps_columns(spark, trained):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, *_ in rows} - bad
 
 
+def test_removal_is_by_row(spark, trained):
+    *_, model = trained
+    bad = "vileword nastyish vileword nastyish"
+    assert model.margins([bad, "lemon tree"], model.weights != 0).tolist()[0] > 1
+    rows = [(None, bad, "s"), (None, "lemon tree", "s"), (4, bad, "s"), (4, "lemon tree", "s"), (None, None, "s")]
+    kept = toxicity.remove_toxic(frame(spark, rows), model).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [
+        ("4", "lemon tree"), ("None", "None"), ("None", "lemon tree")]
+
+
 def test_counts_against_brute_force(spark):
     rows, labels = labelled(40)
     table = dict(labels)
