@@ -5,8 +5,9 @@ of a single site.  (2) For the others HyperLogLog sketches of the sites are buil
 merged by the aggregation.  (3) Lines whose estimate lies near the threshold get an exact count of
 distinct sites.  (4) Lines on at least ``min_sites`` sites are boilerplate and cut from every document.
 
-A document of which such lines make up more than ``max_share`` is not a page with boilerplate but a
-copy; it is left as it is, for near-duplicate removal to judge.
+A document of which such lines make up more than ``max_share`` is left as it is; with ``copies_only``
+(the pipeline) only if it is a copy, its whole text standing under another id as well, for
+near-duplicate removal to judge.  All others, rows with a null id among them, are cut whatever the share.
 
 Defined cases: lines of fewer than ``min_words`` space-separated words are never cut; a null site is a
 site of its own; null and empty texts have no lines and stay as they are; repeated rows are cut alike;
@@ -60,9 +61,18 @@ def shared_lines(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return staged(sure.unionByName(exact), "shared_lines")
 
 
+def _with_copies(cuts: DataFrame) -> DataFrame:
+    """``cuts`` with ``__copy``: the row's text stands under another id as well (null ids do not count)."""
+    same = ["__key", "__size", "__n"]           # equal texts have equal cuts
+    sized = cuts.withColumn("__n", F.size("__cut"))
+    copied = sized.groupBy(*same).agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo <> hi")
+    return sized.join(copied.select(*same, F.lit(True).alias("__hit")), same, "left").select(
+        *cuts.columns, (F.col("__hit").isNotNull() & F.col("__id").isNotNull()).alias("__copy"))
+
+
 def cut_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
                      max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text",
-                     site_col: str = "source") -> DataFrame:
+                     site_col: str = "source", copies_only: bool = False) -> DataFrame:
     """``docs`` with the shared lines cut from ``text_col``; adds ``__lines_cut`` and ``__chars_cut``."""
     rows = line_rows(docs, min_words, id_col, text_col, site_col)
     cuts = rows.join(shared_lines(rows, min_sites), ["h1", "h2"]).groupBy("doc_id", "text_key").agg(
@@ -70,9 +80,13 @@ def cut_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
     # repeated rows have the same lines: each was counted once per row
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__cut",
                        (F.col("n") * F.size("__cut") / F.col("m")).cast("long").alias("__size"))
+    spared = F.lit(True)
+    if copies_only:
+        cuts = _with_copies(staged(cuts, "line_cuts"))
+        spared = F.col("__copy")
     text = docs[text_col]
     both = docs.join(cuts, docs[id_col].eqNullSafe(cuts["__id"]) & (F.xxhash64(text) == cuts["__key"]), "left")
-    cut = F.col("__cut").isNotNull() & (F.col("__size") <= F.lit(max_share) * F.length(text))
+    cut = F.col("__cut").isNotNull() & (~spared | (F.col("__size") <= F.lit(max_share) * F.length(text)))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("__cut", k)), "\n")
     others = [docs[c] for c in docs.columns if c != text_col]
     out = both.select(*others, F.when(cut, kept).otherwise(text).alias(text_col),

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ratingkit.llm import components, jaccard, line_spread, suffix_dedup
 
@@ -190,3 +191,18 @@ def test_shared_lines_against_brute_force(spark, sites):
 
 def test_shared_lines_of_an_empty_table(spark):
     assert line_spread.cut_shared_lines(frame(spark, [])).collect() == []
+
+
+def test_pipeline_leaves_only_copies_whole(spark):
+    import corpus_pipeline
+    head, foot = "welcome to this fine page", "all rights reserved by the owners"
+    page = lambda x: f"{head}\n{x}\n{foot}"
+    rows = [(k, page(f"text {k}"), f"s{k}") for k in range(9)]           # short pages, no copies
+    rows += [(k, page("same"), "s1") for k in (20, 21)]                  # a copy under two ids
+    rows += [(30, page("again"), "s2"), (30, page("again"), "s2"), (None, page("same"), "s3"), (40, foot, "s4"), (41, "", "s4")]
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text"))
+    got = corpus_pipeline.cut_boilerplate(spark, docs, "").collect()
+    want = [(k, f"text {k}") for k in range(9)] + [(20, page("same")), (21, page("same")), (30, "again"), (30, "again"),
+                                                   (None, "same"), (40, ""), (41, "")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(d), t) for d, t in want)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
