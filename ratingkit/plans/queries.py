@@ -659,32 +659,37 @@ def q_bpr_features(spark, d):
     return model.transform(pairs, wide=True)
 
 
-def _gbt_features(tr, va, te):
-    """Per-fold features: target encodings fitted on the fold's train part, plus catalogue numbers."""
-    spec = {("user_id", "score"): ["mean", "count", "std", "min", "max"],
-            ("item_id", "score"): ["mean", "count", "std", "min", "max"]}
-    enc = stats.TargetEncoder(spec, 5).fit(tr)
-    return enc.transform(tr), enc.transform(va), enc.transform(te)
+# the final run's encodings: 52 columns
+_GBT_ENCODINGS = {(key, target): aggs for key in ("user_id", "item_id") for target, aggs in (
+    ("score", ["mean", "sum", "count", "std", "min", "max"]),
+    *((c, ["mean", "sum", "count", "std"]) for c in ("members", "watching", "completed", "on_hold", "dropped")))}
 
 
-_GBT_RUNS: dict = {}
+def _gbt_features(tr, va, te):
+    """Per-fold features: target encodings and Word2Vec, both fitted on the fold's train part."""
+    enc = stats.TargetEncoder(_GBT_ENCODINGS, 5).fit(tr)
+    w2v = embed.Word2VecFeatures().fit(tr)
+    return tuple(w2v.transform(enc.transform(x)) for x in (tr, va, te))
 
 
 def _gbt_run(spark, d):
-    """One CV run per session and data folder: ``gbt_oof`` and ``importance`` share it."""
-    key = (id(spark), d)
-    if key not in _GBT_RUNS:
-        _GBT_RUNS[key] = _gbt_run_uncached(spark, d)
-    return _GBT_RUNS[key]
-
+    """The final run: factors, encodings, Word2Vec, catalogue numbers and ratios, five folds to the stopping rule.
 
-def _gbt_run_uncached(spark, d):
+    The factor models see all pairs and no labels, the same matrix in every fold, so each is fitted once.
+    """
     cat = catalog.catalogue_features(fx.items(spark, d)).select(
-        "item_id", "members", "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate",
-        "episodes", "duration_min", "aired_days", "rating_cd", "has_genres_cnt")
-    folded = folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42).join(cat, "item_id", "left")
-    test = fx.split_frame(spark, d, "test").select("user_id", "item_id").join(cat, "item_id", "left")
-    return gbm.cross_validate(folded, test, 5, _gbt_features, drop=[], max_iter=30, patience=10)
+        "item_id", "members", "watching", "completed", "on_hold", "dropped", "plan_to_watch",
+        "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate", "episodes", "duration_min",
+        "aired_days", "start_year", "end_year", "rating_cd", "has_genres_cnt", "has_licensors_cnt")
+    pairs = fx.pairs(spark, d).select("user_id", "item_id")
+    als = factor.fit_als(pairs, rank=64, reg=0.05, alpha=2.0, max_iter=15)
+    bpr = factor.fit_bpr(pairs, factors=100, epochs=100, lr=5.0)
+
+    def widened(df):
+        return cut_lineage(bpr.transform(als.transform(df.join(cat, "item_id", "left"))))
+    folded = widened(folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42))
+    test = widened(fx.split_frame(spark, d, "test").select("user_id", "item_id"))
+    return gbm.cross_validate(folded, test, 5, _gbt_features, drop=[])
 
 
 @register("gbt_oof")
