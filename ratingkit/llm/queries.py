@@ -147,3 +147,72 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("__lines_cut").cast("long").alias("lines_cut"),
                       F.col("__chars_cut").cast("long").alias("chars_cut"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''),
+              lambda ch: ord(ch)::BIGINT)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+              lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+
+def _encoded_sql(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+@register("op12_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '1' || lang END AS g,
+         xor({_CRC32.format("doc_id")}, 4294967295) % 3 = 0 AS hit,
+         sha256({" || ".join(_encoded_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         sha256({" || ".join(_encoded_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_encoded_sql(
+    "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed
+  FROM documents),
+ranked AS (
+  SELECT doc_id, g, leaf, hit, changed, count(*) OVER (PARTITION BY g) AS n,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes AS (
+  SELECT g, 0 AS level, pos, leaf AS hash, n FROM ranked
+  UNION ALL
+  SELECT g, level + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY g, level, pos // 8),
+subs AS (
+  SELECT g, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, hash, n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY level, pos // 8),
+steps AS (
+  SELECT r.g, r.pos, x.level, string_agg(x.hash, '' ORDER BY x.pos) FILTER (x.pos < r.pos >> (3 * x.level)) AS l,
+         string_agg(x.hash, '' ORDER BY x.pos) FILTER (x.pos > r.pos >> (3 * x.level)) AS r
+  FROM ranked r JOIN nodes x ON x.g = r.g AND x.n > 1 AND x.pos // 8 = r.pos >> (3 * x.level + 3)
+  GROUP BY r.g, r.pos, x.level
+  UNION ALL
+  SELECT r.g, r.pos, 100 + x.level, string_agg(x.hash, '' ORDER BY x.pos) FILTER (x.pos < s.pos >> (3 * x.level)),
+         string_agg(x.hash, '' ORDER BY x.pos) FILTER (x.pos > s.pos >> (3 * x.level))
+  FROM ranked r JOIN subs s ON s.g = r.g JOIN tops x ON x.n > 1 AND x.pos // 8 = s.pos >> (3 * x.level + 3)
+  GROUP BY r.g, r.pos, x.level),
+paths AS (
+  SELECT *, row_number() OVER (PARTITION BY g, pos ORDER BY level) AS k FROM steps),
+folds AS (
+  SELECT g, pos, 0 AS k, CASE WHEN hit THEN changed ELSE leaf END AS hash FROM ranked
+  UNION ALL
+  SELECT f.g, f.pos, f.k + 1, sha256(coalesce(p.l, '') || f.hash || coalesce(p.r, ''))
+  FROM folds f JOIN paths p ON p.g = f.g AND p.pos = f.pos AND p.k = f.k + 1),
+ends AS (
+  SELECT g, pos, arg_max(hash, k) AS folded_root FROM folds GROUP BY g, pos),
+proofs AS (
+  SELECT r.g, r.pos, sha256(coalesce(string_agg(coalesce(l, '') || coalesce(p.r, ''), '' ORDER BY k), '')) AS proof_sha256
+  FROM ranked r LEFT JOIN paths p ON p.g = r.g AND p.pos = r.pos GROUP BY r.g, r.pos)
+SELECT r.doc_id, r.leaf, s.hash AS subroot, t.hash AS root, proof_sha256, folded_root, folded_root = t.hash AS verified
+FROM ranked r JOIN subs s ON s.g = r.g CROSS JOIN (SELECT hash FROM tops WHERE n = 1) t
+JOIN proofs p ON p.g = r.g AND p.pos = r.pos JOIN ends e ON e.g = r.g AND e.pos = r.pos""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fold, manifest, proof_digest, tampered_leaf
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tree = manifest(docs, carry={"changed": F.when(hit, tampered_leaf(docs))})
+    return tree.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+        fold(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
