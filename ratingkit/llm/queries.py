@@ -216,3 +216,49 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
         fold(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    nearest = """
+a{k} AS (
+  SELECT p.row, p.part, arg_min(b.entry, (d(p.v, b.v), b.entry)) AS entry, min(d(p.v, b.v)) AS dist
+  FROM parts p JOIN b{k} b ON b.part = p.part GROUP BY p.row, p.part)"""
+    nearest = nearest.replace("d(p.v, b.v)", "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))")
+    mean = """
+s{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS v
+  FROM (SELECT part, entry, i, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS m
+        FROM (SELECT a.part, a.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS i
+              FROM a{k} a JOIN parts p ON p.row = a.row AND p.part = a.part)
+        GROUP BY part, entry, i)
+  GROUP BY part, entry),
+b{next} AS (
+  SELECT b.part, b.entry, coalesce(s.v, b.v) AS v
+  FROM b{k} b LEFT JOIN s{k} s ON s.part = b.part AND s.entry = b.entry)"""
+    steps = [x for k in range(rounds) for x in (nearest.format(k=k), mean.format(k=k, next=k + 1))]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (
+  SELECT row, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS v
+  FROM (SELECT row, q, unnest(range({parts})) AS part FROM kept)),
+b0 AS (SELECT part, row AS entry, v FROM parts WHERE row < {entries}),{",".join(steps)},{nearest.format(k=rounds)},
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.entry), '' ORDER BY a.part) AS code,
+         CAST(sum(a.dist) AS BIGINT) AS error
+  FROM a{rounds} a JOIN kept k ON k.row = a.row GROUP BY k.row, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM coded"""
+
+
+@register("op13_trie_vector_codes", _vector_codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+    coded, books = compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error",
+                        F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
