@@ -262,3 +262,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = compress(_table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error",
                         F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+@register("op11_bootstrapped_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+    return find_personal_data(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
