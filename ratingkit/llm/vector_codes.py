@@ -207,11 +207,12 @@ class Codebooks:
 
 def first_codebooks(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> Codebooks | None:
     """Codebooks of the first vectors; None without vectors that ``parts`` divides."""
-    first = kept.where(F.size("v") % parts == 0).orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries)
-    rows = [r["v"] for r in first.select("v").collect()]
-    rows = [v for v in rows if len(v) == len(rows[0])]
-    if not rows:
+    order = [F.col("vec_id").asc_nulls_last(), F.col("v")]
+    lead = kept.where(F.size("v") % parts == 0).orderBy(*order).select("v").limit(1).collect()
+    if not lead:
         return None
+    same = kept.where(F.size("v") == len(lead[0]["v"]))
+    rows = [r["v"] for r in same.orderBy(*order).select("v").limit(entries).collect()]
     start = np.array(rows, np.int64)
     return Codebooks(np.stack(np.split(start, parts, axis=1)))
 
