@@ -655,7 +655,7 @@ def q_als_features(spark, d):
 @register("bpr_features")
 def q_bpr_features(spark, d):
     pairs = fx.pairs(spark, d).select("user_id", "item_id")
-    model = factor.fit_bpr(pairs, factors=100, epochs=100, lr=5.0)
+    model = factor.fit_bpr(pairs, factors=100, epochs=100)
     return model.transform(pairs, wide=True)
 
 
@@ -683,7 +683,7 @@ def _gbt_run(spark, d):
         "aired_days", "start_year", "end_year", "rating_cd", "has_genres_cnt", "has_licensors_cnt")
     pairs = fx.pairs(spark, d).select("user_id", "item_id")
     als = factor.fit_als(pairs, rank=64, reg=0.05, alpha=2.0, max_iter=15)
-    bpr = factor.fit_bpr(pairs, factors=100, epochs=100, lr=5.0)
+    bpr = factor.fit_bpr(pairs, factors=100, epochs=100)
 
     def widened(df):
         return cut_lineage(bpr.transform(als.transform(df.join(cat, "item_id", "left"))))

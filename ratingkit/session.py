@@ -89,3 +89,14 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent).as_posix())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back: a lineage cut that
+    later reads can prune by column and filter."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
