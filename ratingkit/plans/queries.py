@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, stats
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from . import flagship
 from .registry import register
@@ -672,15 +673,36 @@ def _gbt_features(tr, va, te):
     return tuple(w2v.transform(enc.transform(x)) for x in (tr, va, te))
 
 
-def _gbt_run(spark, d):
-    """The final run: factors, encodings, Word2Vec, catalogue numbers and ratios, five folds to the stopping rule.
+def _final_catalogue(spark, d):
+    """The catalogue of the final run: numbers, ratios, token flags, list embeddings, category and work codes."""
+    items = fx.items(spark, d)
+    cat = catalog.catalogue_features(items)
+    for c in ("type", "source"):
+        cat = catalog.category_code(cat, c, "item_id")
+    work = fuzzy.cluster_names(items.select("item_id", "name"), "name", 0.2, "item_id")
+    work = catalog.category_code(work, "original_work_name", "item_id").select("item_id", "original_work_name_code")
+    cat = cut_lineage(cat).select(
+        "item_id", "members", "watching", "completed", "on_hold", "dropped", "plan_to_watch",
+        "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate", "episodes", "duration_min",
+        "aired_days", "start_year", "end_year", "rating_cd", "has_genres_cnt", "has_licensors_cnt", "type_code",
+        "source_code")
+    for c in ("genres", "licensors"):
+        flags = catalog.indicators(items, "item_id", [c], mode="regex").groupBy("item_id").agg(
+            F.collect_set("token").alias("_tokens"))
+        # a column a token, as many as the catalogue has; numbered, as tokens may differ in case alone
+        vocab = sorted(r[0] for r in catalog.vocabulary(items, c).where("token IS NOT NULL").collect())
+        cat = cat.join(cut_lineage(flags), "item_id", "left").select(*cat.columns, *(
+            F.coalesce(F.array_contains("_tokens", t), F.lit(False)).alias(f"has_{c}_{n}_{t}")
+            for n, t in enumerate(vocab)))
+    return cut_lineage(cat.join(work, "item_id", "left").join(q_svd_multilabel(spark, d), "item_id", "left"))
+
+
+def _gbt_run(spark, d, max_iter=10_000, patience=100):
+    """The final run: factors, encodings, Word2Vec, the catalogue's columns, five folds to the stopping rule.
 
     The factor models see all pairs and no labels, the same matrix in every fold, so each is fitted once.
     """
-    cat = catalog.catalogue_features(fx.items(spark, d)).select(
-        "item_id", "members", "watching", "completed", "on_hold", "dropped", "plan_to_watch",
-        "watching_rate", "completed_rate", "on_hold_rate", "dropped_rate", "episodes", "duration_min",
-        "aired_days", "start_year", "end_year", "rating_cd", "has_genres_cnt", "has_licensors_cnt")
+    cat = _final_catalogue(spark, d)
     pairs = fx.pairs(spark, d).select("user_id", "item_id")
     als = factor.fit_als(pairs, rank=64, reg=0.05, alpha=2.0, max_iter=15)
     bpr = factor.fit_bpr(pairs, factors=100, epochs=100)
@@ -689,20 +711,46 @@ def _gbt_run(spark, d):
         return cut_lineage(bpr.transform(als.transform(df.join(cat, "item_id", "left"))))
     folded = widened(folds.stratified_kfold(_train(spark, d), ["user_id", "item_id"], "score", 5, 42))
     test = widened(fx.split_frame(spark, d, "test").select("user_id", "item_id"))
-    return gbm.cross_validate(folded, test, 5, _gbt_features, drop=[])
+    return gbm.cross_validate(folded, test, 5, _gbt_features, drop=[], max_iter=max_iter, patience=patience)
+
+
+def _final_run(spark, d):
+    """Out-of-fold predictions, test predictions and importances of the final run: one stored run for all.
+
+    The run lies in the shared folder under a key of the input files and their times; whichever query comes
+    first makes it, the others read it.  ``_done`` is written last, so half a run is never read.
+    """
+    files = [fx.table(spark, d, t).select("_metadata.file_path", "_metadata.file_modification_time",
+                                          "_metadata.file_size").distinct() for t in ("lineitem", "orders", "part")]
+    key = files[0].unionByName(files[1]).unionByName(files[2]).agg(F.sha2(F.concat_ws(",", F.sort_array(
+        F.collect_list(F.concat_ws(":", *files[0].columns)))), 256)).first()[0]
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/final-run-{key[:24]}"
+    names = ("oof", "test", "importance")
+    try:
+        spark.read.schema("ok int").parquet(f"{base}/_done").limit(1).collect()
+    except AnalysisException:
+        oof, test, imps = _gbt_run(spark, d)
+        table = spark.createDataFrame(imps, "fold int, column string, importance double")
+        for name, df in zip(names, (oof, test, table)):
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        spark.range(1).selectExpr("CAST(id AS INT) AS ok").write.mode("overwrite").parquet(f"{base}/_done")
+    return tuple(spark.read.parquet(f"{base}/{n}") for n in names)
 
 
 @register("gbt_oof")
 def q_gbt_oof(spark, d):
-    oof, test_pred, _ = _gbt_run(spark, d)
-    return ev.rmse_by_fold(oof, "fold", "score", "pred")
+    return ev.rmse_by_fold(_final_run(spark, d)[0], "fold", "score", "pred")
+
+
+@register("gbt_test")
+def q_gbt_test(spark, d):
+    """M3: the test prediction, the mean over the folds' models."""
+    return round_floats(_final_run(spark, d)[1])
 
 
 @register("importance")
 def q_importance(spark, d):
-    _, _, imps = _gbt_run(spark, d)
-    table = spark.createDataFrame(imps, "fold int, column string, importance double")
-    return ev.importance_table(table, 50)
+    return ev.importance_table(_final_run(spark, d)[2], 50)
 
 
 # ---------------------------------------------------------------- P13 column check, P11 + IO6 submission frame
