@@ -7,8 +7,8 @@ without a shuffle, and what is new is appended.
 Digest: sha256 of the text without the characters ``[\\x20\\x09-\\x0D]``, in UTF-8.  Of equal texts the
 row with the most code points stays, then the smallest id (null ids last).
 
-Defined cases: null counts as empty; texts of white space alone equal the empty text; rows equal in id
-and text are one document and share its result; an empty table leaves the index as it is.
+Defined cases: null counts as empty; texts of white space alone equal the empty text; of rows equal in
+id and text one is kept, whichever was staged first; an empty table leaves the index as it is.
 """
 
 from __future__ import annotations
@@ -31,17 +31,19 @@ def normalized(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, n_points)`` per row; no text travels further."""
+    """``(doc_id, row, digest, n_points)`` per row; no text travels further.  ``row`` numbers the rows of a
+    batch, to tell repeated ones apart; it is fixed once written."""
     n = narrow(docs, id_col, text_col)
-    return n.select("doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"),
+    return n.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"),
                     F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
     """One row per digest: which row stays and how many there are (partially aggregated)."""
-    best = F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    best = F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id",
+                          "row"))
     return rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("group_size")).select(
-        "digest", F.col("b.doc_id").alias("keep_id"), "group_size")
+        "digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), "group_size")
 
 
 class DigestIndex:
@@ -51,7 +53,8 @@ class DigestIndex:
         self.spark, self.path, self.n_buckets, self.id_type = spark, path, n_buckets, id_type
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING) "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, keep_row BIGINT, "
+            f"group_size BIGINT, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {n_buckets} BUCKETS LOCATION '{path}'")
 
     @classmethod
@@ -74,7 +77,7 @@ class DigestIndex:
 
     def append(self, reps: DataFrame, batch: str) -> None:
         # one task, hence one sorted file, per bucket
-        (reps.select("digest", F.col("keep_id").cast(self.id_type), "group_size", F.lit(batch))
+        (reps.select("digest", F.col("keep_id").cast(self.id_type), "keep_row", "group_size", F.lit(batch))
          .repartition(self.n_buckets, "digest").write.insertInto(self.table))
         self.spark.catalog.refreshTable(self.table)
 
@@ -83,7 +86,7 @@ class DigestIndex:
 
         Returns per row: doc_id, digest, n_points, ``keep_id`` and ``group_size`` as the index has them
         (a digest of an earlier batch keeps that batch's entry), and ``kept``: this batch brought the
-        digest and this id stands for it.
+        digest and this row stands for it, one row a digest.
         """
         batch = uuid.uuid4().hex
         mine = staged(digests(docs, id_col, text_col), "digests")
@@ -103,4 +106,4 @@ class DigestIndex:
             mine.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(self.rows(), "digest"))
         return joined.select(
             "doc_id", "digest", "n_points", "keep_id", "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)).alias("kept"))
+            ((F.col("row") == F.col("keep_row")) & (F.col("batch") == batch)).alias("kept"))

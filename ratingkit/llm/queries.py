@@ -48,9 +48,10 @@ WITH n AS (
   FROM documents),
 r AS (
   SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id) AS keep_id
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id) AS keep_id,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id) AS place
   FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""")
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest_index import DigestIndex
     docs = _table(spark, sf_dir, "documents")

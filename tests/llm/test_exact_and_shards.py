@@ -96,3 +96,14 @@ def test_cells_split_hot_slots(spark, monkeypatch):
 
 def test_shards_of_an_empty_table(spark):
     assert sharding.shard_by_slots(frame(spark, []), 4)[0].collect() == []
+
+
+def test_one_row_of_repeated_ones_is_kept(spark):
+    """An id's rows differ in length, and the longest stands twice: one row of the digest stays."""
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (1, "ab", "s"), (2, "ab", "s"), (None, "c", "s"), (None, "c", "s")]
+    index = digest_index.DigestIndex.create(spark, len(rows))
+    got = index.add(frame(spark, rows)).collect()
+    kept = [(r["doc_id"], r["n_points"]) for r in got if r["kept"]]
+    assert sorted(kept, key=str) == [(1, 3), (None, 1)] and {r["keep_id"] for r in got} == {1, None}
+    again = index.add(frame(spark, rows)).collect()
+    assert not any(r["kept"] for r in again)
