@@ -66,11 +66,34 @@ def write_submission(preds: DataFrame, path: str, order_col: str = "row_nr", sco
     write_table(out if keep_key else out.select(score_col), path, fmt)
 
 
-def fill_template(template: DataFrame, preds: DataFrame, key: Sequence[str], score_col: str = "score") -> DataFrame:
-    """Template rows with their predicted ``score`` (IO4), matched on ``key``."""
+def fill_template(template: DataFrame, preds: DataFrame, key: Sequence[str] = ("row_nr",),
+                  score_col: str = "score") -> DataFrame:
+    """Template rows with their predicted ``score`` (IO4), matched on ``key``: the row's place for a template
+    of scores alone (``read_template``), or columns that both have.  Rows without a prediction get null."""
     return template.drop(score_col).join(preds.select(*key, score_col), list(key), "left")
 
 
+def by_place(read: DataFrame, order_col: str = "row_nr") -> DataFrame:
+    """A file's rows with their place in it, ``order_col`` from 0: part files by their number, then the
+    position inside the file.  ``read`` is a plain read of the file, as its metadata are needed."""
+    columns, name = read.columns, F.col("_metadata.file_name")
+    placed = read.select(
+        *columns, name.alias("_name"),
+        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")), F.lit("9" * 18)),
+                   F.lit(0)).cast("long").alias("_part"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    return row_index(placed, ["_part", "_name", "_block", "_place"], order_col).select(order_col, *columns)
+
+
+def read_template(spark: SparkSession, path: str, order_col: str = "row_nr", fmt: str | None = None) -> DataFrame:
+    """A submission template with the place of each row as its key (IO4); it may hold a score column alone."""
+    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    read = spark.read.format(fmt).option("header", True).load(path)
+    if order_col in read.columns:
+        return read.withColumn(order_col, F.col(order_col).cast("long"))
+    return by_place(read, order_col)
+
+
 def read_prediction(spark: SparkSession, path: str, order_col: str = "row_nr", score_col: str = "score",
                     out: str = "other_score", fmt: str | None = None) -> DataFrame:
     """Another run's predictions as ``(row_nr, out)`` for a key join (IO5).
@@ -88,13 +111,7 @@ def read_prediction(spark: SparkSession, path: str, order_col: str = "row_nr", s
     df = read_table(spark, path, schema, fmt)
     if order_col in header:
         return df.select(order_col, F.col(score_col).cast("double").alias(out))
-    name = F.col("_metadata.file_name")
-    placed = df.select(
-        F.col(score_col).cast("double").alias(out), name.alias("_name"),
-        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")), F.lit("9" * 18)),
-                   F.lit(0)).cast("long").alias("_part"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    return row_index(placed, ["_part", "_name", "_block", "_place"], order_col).select(order_col, out)
+    return by_place(df, order_col).select(order_col, F.col(score_col).cast("double").alias(out))
 
 
 def oof_table(preds: DataFrame, key: Sequence[str], pred_col: str = "pred", score_col: str = "score",

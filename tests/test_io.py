@@ -42,6 +42,23 @@ def test_scores_alone_read_back_by_place(spark):
     assert got == {i: float(i) / 7 for i in range(500)}
 
 
+def test_template_of_scores_alone_is_filled_by_place(spark):
+    out = tempfile.mkdtemp(prefix="ratingkit-io-")
+    rows = spark.createDataFrame([(i, 0.0) for i in range(300)], "row_nr long, score double").repartition(4)
+    io.write_submission(rows, f"{out}/template")
+    template = io.read_template(spark, f"{out}/template", fmt="csv")
+    preds = spark.createDataFrame([(i, i / 3) for i in range(299, -1, -1) if i != 7], "row_nr long, score double")
+    got = {r.row_nr: r.score for r in io.fill_template(template, preds).collect()}
+    assert got == {i: None if i == 7 else i / 3 for i in range(300)}
+    keyed = io.read_template(spark, io_keyed(spark, out), fmt="csv")
+    assert sorted(r.row_nr for r in keyed.collect()) == [3, 9] and keyed.schema["row_nr"].dataType.simpleString() == "bigint"
+
+
+def io_keyed(spark, out):
+    io.write_table(spark.createDataFrame([(9, 0.0), (3, 0.0)], "row_nr long, score double"), f"{out}/keyed", fmt="csv")
+    return f"{out}/keyed"
+
+
 def test_missing_score_column_is_an_error(spark):
     import pytest
     out = tempfile.mkdtemp(prefix="ratingkit-io-")
