@@ -3,16 +3,18 @@
 Two documents link when their shingle sets reach the threshold (``num / den``).  For any total order
 of tokens two linked sets share a token among their first ``n - ceil(t n) + 1``.  Here several orders
 are used: each puts tokens of the same frequency class in the order of another hash, rare classes
-first (the classes come from counts of all documents, in a table of fixed size).  The first order
-makes candidates; a pair survives only if sizes and parity sketches allow it
-(``|x ^ y| >= popcount(px ^ py)``) and if it also shares a prefix token under every other order.
-Survivors are verified on whole sets.  All filters are lossless.
+first (the classes come from counts of all documents, in a table of fixed size).  One scan writes the
+prefixes of every set under all orders.  The first order's are joined; a pair survives only if sizes
+and parity sketches allow it (``|x ^ y| >= popcount(px ^ py)``; 256 bits travel with the token rows,
+1,024 are met afterwards) and if it shares a prefix token under every other order too.  Only then are
+the whole sets fetched and compared.  All filters are lossless.
 
 What is asked for is components, so equal sets are one class from the start, and pairs that cannot
-change a component are not made.  Round one links the members of each token list to the list's
-leader: of the members whose prefix reaches the most frequent class, one that differs from list to
-list.  Round two makes the pairs of a list whose members still lie in different components, lists
-being cut into blocks so that no task meets a long one whole.
+change a component are not made.  A round links the members of each token list whose members lie in
+several components to a leader of the list, another one each round, and contracts the components;
+rounds go on while they find a fair share of what the first one found.  At the end the pairs of a list
+that still lie in different components are made, long lists being cut into blocks, so no task meets
+one whole.  When the rounds end decides about work only.
 
 Words: A-Z lower-cased, runs of bytes outside ``[\\x20\\x09-\\x0D]``.  Tokens and sets are known by
 64-bit hashes.
@@ -24,13 +26,14 @@ than a shingle the whole sequence is one; rows with a null id are counted but li
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import byte_view, gather_ranges, mix, narrow, pieces, prepare, range_hashes, staged
 from .components import components
@@ -44,6 +47,10 @@ PARITY_WORDS = 16
 FILTER_BITS = 1 << 29
 # Members per block of a long token list.
 BLOCK = 2048
+# Rounds of leaders go on while one finds more than this part of the first one's links.
+YIELD = 50
+# Text bytes shingled at once (whole documents): some 60 bytes of arrays each.
+TEXT_BYTES = 256 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -51,6 +58,10 @@ _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
 _Q = [f"q{k}" for k in range(PARITY_WORDS)]
+# Words of the folded sketch that travels with token rows.
+FOLDS = 4
+_F = [f"f{k}" for k in range(FOLDS)]
+_ORDERS = [f"order{k}" for k in range(ORDERS)]
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,30 +111,33 @@ def prefix_size(n, num: int, den: int):
 
 
 def prefix(row: np.ndarray, token: np.ndarray, n: np.ndarray, classes: np.ndarray, order: int,
-           num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the prefix tokens under one order, and the class of each row's last one."""
+           num: int, den: int) -> np.ndarray:
+    """Indices of the prefix tokens under one order."""
     kind = classes[token >> np.uint64(64 - SKETCH_BITS)]
     key = mix(token ^ np.uint64(0xA0761D6478BD642F * (order + 1) % (1 << 64)))
     by = np.lexsort((key, kind, row))
-    first = np.cumsum(n) - n
-    size = np.where(n > 0, prefix_size(n, num, den), 0)
-    at = by[gather_ranges(first, size)]
-    last = np.zeros(len(n), np.int64)
-    has = n > 0
-    last[has] = kind[at[(np.cumsum(size) - 1)[has]]]
-    return at, last
+    return by[gather_ranges(np.cumsum(n) - n, np.where(n > 0, prefix_size(n, num, den), 0))]
 
 
 def _texts(batch):
     raw, off = byte_view(batch.column("text"))
-    for i, j in pieces(off):
+    for i, j in pieces(off, TEXT_BYTES):
         yield i, j, raw[off[i]:off[j]], off[i:j + 1] - off[i]
 
 
+def sketch(row: np.ndarray, token: np.ndarray, n_rows: int) -> np.ndarray:
+    """Parity of the tokens in each of ``64 * PARITY_WORDS`` buckets, as words per row."""
+    bits = PARITY_WORDS * 64
+    bit = (mix(token.copy()) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(row * bits + bit, minlength=n_rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n_rows, PARITY_WORDS)
+
+
 def _profile(own: DataFrame, words: int) -> DataFrame:
-    """Per row ``(doc_id, h1, h2, n, sid)``, the text by two hashes; and slices of the task's token counts (``slice``, ``counts``)."""
+    """Per row ``(doc_id, h1, h2, n, sid, q0, ...)``: the text by two hashes, size, id and parity sketch of its set;
+    and slices of the task's token counts (``slice``, ``counts``)."""
     id_type = own.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "h1", "h2", "n", "sid", "slice", "counts"]
+    names = ["doc_id", "h1", "h2", "n", "sid", *_Q, "slice", "counts"]
 
     def run(batches):
         seen, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -132,23 +146,26 @@ def _profile(own: DataFrame, words: int) -> DataFrame:
             for i, j, raw, off in _texts(batch):
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
+                packed = sketch(row, token, j - i)
                 np.add.at(seen, token >> np.uint64(64 - SKETCH_BITS), 1)
                 none = pa.nulls(j - i)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(i, j - i) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()),
-                    pa.array(sid), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                    pa.array(sid), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(PARITY_WORDS)),
+                    none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
             parts = seen.reshape(-1, 1 << SLICE_BITS)
             for k in range(0, len(parts), 8):
                 own_ = parts[k:k + 8]
+                none = pa.nulls(len(own_), pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(len(own_), kind), pa.nulls(len(own_), pa.int64()), pa.nulls(len(own_), pa.int32()),
-                    pa.nulls(len(own_), pa.int64()), pa.nulls(len(own_), pa.int64()),
+                    pa.nulls(len(own_), kind), none, pa.nulls(len(own_), pa.int32()), none, none, *[none] * PARITY_WORDS,
                     pa.array(np.arange(k, k + len(own_)), pa.int32()),
                     pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in own_], pa.binary())],
                     names)
     rows = own.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
-    return rows.mapInArrow(run, f"doc_id {id_type}, h1 long, h2 int, n long, sid long, slice int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {id_type}, h1 long, h2 int, n long, sid long, "
+                           + "".join(f"{q} long, " for q in _Q) + "slice int, counts binary")
 
 
 def _classes(profile: DataFrame) -> np.ndarray:
@@ -185,27 +202,11 @@ def _fresh(seen: set[int], sid: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tokens(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
-    """Prefix tokens under the first order: ``(token, sid, n, reach)``; each set once per task."""
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for i, j, raw, off in _texts(batch):
-                row, token = shingles(raw, off, words)
-                n, sid = set_ids(row, token, j - i)
-                fresh = _fresh(seen, sid, known[i:j])
-                keep = fresh[row]
-                row, token, n = row[keep], token[keep], np.where(fresh, n, 0)
-                at, reach = prefix(row, token, n, sent.value, 0, num, den)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(token[at].view(np.int64)), pa.array(sid[row[at]]), pa.array(n[row[at]].astype(np.int32)),
-                    pa.array(reach[row[at]].astype(np.int32))], ["token", "sid", "n", "reach"])
-    return own.mapInArrow(run, "token long, sid long, n int, reach int")
-
+def _prefixes(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
+    """``(sid, order0, order1, ...)``: prefix tokens of each set under every order; each set once per task.
 
-def _sketches(own: DataFrame, words: int) -> DataFrame:
-    """``(sid, n, q0, ...)``: size and parity sketch of each set."""
+    The further orders only filter, so half of a token's bits do.
+    """
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -214,15 +215,17 @@ def _sketches(own: DataFrame, words: int) -> DataFrame:
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
                 fresh = _fresh(seen, sid, known[i:j] & (n > 0))
-                bits = PARITY_WORDS * 64
-                bit = (mix(token.copy()) % np.uint64(bits)).astype(np.int64)
-                odd = (np.bincount(row * bits + bit, minlength=(j - i) * bits) & 1).astype(np.uint8)
-                packed = np.packbits(odd).view(np.int64).reshape(j - i, PARITY_WORDS)
-                cols = [pa.array(sid), pa.array(n.astype(np.int32)),
-                        *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(PARITY_WORDS))]
-                yield pa.RecordBatch.from_arrays(cols, ["sid", "n", *_Q]).filter(pa.array(fresh))
-    rows = own.mapInArrow(run, "sid long, n int, " + ", ".join(f"{q} long" for q in _Q))
-    return rows.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q)))
+                keep = fresh[row]
+                row, token, n = row[keep], token[keep], np.where(fresh, n, 0)
+                cols = [pa.array(sid)]
+                for k in range(ORDERS):
+                    at = prefix(row, token, n, sent.value, k, num, den)
+                    found = token[at].view(np.int64)
+                    cols.append(_lists(found if k == 0 else (found >> 32).astype(np.int32),
+                                       np.bincount(row[at], minlength=j - i)))
+                yield pa.RecordBatch.from_arrays(cols, ["sid", *_ORDERS]).filter(pa.array(fresh))
+    return own.mapInArrow(run, "sid long, " + ", ".join(
+        f"{c} array<{'int' if k else 'long'}>" for k, c in enumerate(_ORDERS)))
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -241,8 +244,8 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _bodies(own: DataFrame, wanted, sent, words: int, num: int, den: int) -> DataFrame:
-    """Whole sets and their prefixes under the further orders, of the rows whose id passes the filter.
+def _bodies(own: DataFrame, wanted, words: int) -> DataFrame:
+    """Whole sets ``(sid, tokens)`` of the rows whose id passes the filter.
 
     A scan with a broadcast filter of bounded size, so that texts are not shuffled.
     """
@@ -259,17 +262,9 @@ def _bodies(own: DataFrame, wanted, sent, words: int, num: int, den: int) -> Dat
             for i, j, raw, off in _texts(batch.filter(pa.array(passed))):
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
-                cols = [pa.array(sid), _lists(token.view(np.int64), n)]
-                for k in range(1, ORDERS):
-                    at, _ = prefix(row, token, n, sent.value, k, num, den)
-                    cols.append(_lists(token[at].view(np.int64), np.bincount(row[at], minlength=j - i)))
-                yield pa.RecordBatch.from_arrays(cols, _BODY_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(sid), _lists(token.view(np.int64), n)], ["sid", "tokens"])
     rows = own.where(F.col("doc_id").isNotNull()).select("text", F.xxhash64("doc_id").alias("key"))
-    return rows.mapInArrow(run, "sid long, tokens array<long>, "
-                           + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS)))
-
-
-_BODY_NAMES = ["sid", "tokens", *(f"order{k}" for k in range(1, ORDERS))]
+    return rows.mapInArrow(run, "sid long, tokens array<long>")
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -280,38 +275,47 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
 
 
-def _parity_fits(a: str, b: str, num: int, den: int) -> Column:
+def _parity_fits(a: str, b: str, columns: list[str], num: int, den: int) -> Column:
     """Lossless: linked sets differ in at most ``n + m - 2 ceil(num (n + m) / (num + den))`` tokens."""
     both = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in _Q), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in columns), F.lit(0))
     return differ <= both - 2 * F.ceil(F.lit(num) * both / F.lit(num + den) - 1e-9)
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of set ids that sizes and parity sketches allow."""
-    kept = F.struct("n", *_Q)
-    both = pairs.join(sketches.select(F.col("sid").alias("a"), kept.alias("x")).hint("merge"), "a").join(
-        sketches.select(F.col("sid").alias("b"), kept.alias("y")).hint("merge"), "b")
-    return both.where(_sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den)).select("a", "b")
+def _with_both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs(a, b)`` with the columns of both sets as structs ``x`` and ``y``: merge joins at every size."""
+    kept = F.struct(*columns)
+    return pairs.join(table.select(F.col("sid").alias("a"), kept.alias("x")).hint("merge"), "a").join(
+        table.select(F.col("sid").alias("b"), kept.alias("y")).hint("merge"), "b")
+
 
+def _set_ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 
-def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
-    """Pairs that share a prefix token under every further order, and link by their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    needed = staged(ids.join(sets, "sid"), "needed_sets")
+
+def likely(pairs: DataFrame, sketches: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of set ids that whole sketches allow and that share a prefix token under every further order."""
+    near = staged(_with_both(pairs, sketches, "n", *_Q).where(
+        _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", _Q, num, den)).select("a", "b"), "near_pairs")
+    further = staged(prefixes.select("sid", *_ORDERS[1:]).join(_set_ids_of(near), "sid", "left_semi").dropDuplicates(["sid"]),
+                     "needed_prefixes")
+    both = _with_both(near, further, *_ORDERS[1:])
+    for c in _ORDERS[1:]:
+        both = both.where(F.arrays_overlap(f"x.{c}", f"y.{c}"))
+    return staged(both.select("a", "b"), "candidate_pairs")
+
+
+def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs that link by their whole sets."""
+    needed = staged(_set_ids_of(pairs).join(sets, "sid"), "needed_sets")
     wanted = own.sparkSession.sparkContext.broadcast(id_filter(needed, "rep"))
-    bodies = _bodies(own, wanted, sent, words, num, den)
+    bodies = _bodies(own, wanted, words).join(needed.select("sid"), "sid", "left_semi")
     if needed.where("copies > 1").limit(1).count():     # the id of a needed set repeats: one body each
         bodies = bodies.dropDuplicates(["sid"])
-    bodies = staged(bodies, "candidate_sets")
-    cols = F.struct(*_BODY_NAMES[1:])
-    # merge joins at every size: sets are shuffled by their id, never broadcast, nor are the pairs
-    both = pairs.join(bodies.select(F.col("sid").alias("a"), cols.alias("x")).hint("merge"), "a").join(
-        bodies.select(F.col("sid").alias("b"), cols.alias("y")).hint("merge"), "b")
-    for k in range(1, ORDERS):
-        both = both.where(F.arrays_overlap(f"x.order{k}", f"y.order{k}"))
+    both = _with_both(pairs, staged(bodies, "candidate_sets"), "tokens")
     common = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x.tokens") + F.size("y.tokens") - common)).select("a", "b")
+    return staged(both.where(F.lit(den) * common >= F.lit(num) * (F.size("x.tokens") + F.size("y.tokens") - common)).select(
+        "a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -328,27 +332,33 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     own = narrow(docs, id_col, text_col)
     profile = staged(_profile(own, words), "profiles")
     sent = spark.sparkContext.broadcast(_classes(profile))          # 2 ** SKETCH_BITS bytes
-    rows = profile.where(F.col("slice").isNull()).select("doc_id", "h1", "h2", "n", "sid")
+    rows = profile.where(F.col("slice").isNull()).drop("slice", "counts", *_Q)
     counted = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     per_id = counted.groupBy("sid", "doc_id").agg(F.count("*").alias("copies"))
     sets = staged(per_id.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "copies")).alias("m")).select(
         "sid", "m.rep", "m.copies"), "sets")
 
-    by_token = Window.partitionBy("token")
-    lists = _tokens(own, sent, words, num, den).withColumn("members", F.count("*").over(by_token)).withColumn(
-        "lead", F.max(F.struct("reach", F.xxhash64("token", "sid").alias("any"), "sid", "n")).over(by_token)).where("members > 1")
-    lists = staged(lists.select("token", "sid", "n", "members", F.col("lead.sid").alias("leader"),
-                                F.col("lead.n").alias("leader_n")), "token_lists")
+    prefixes = staged(_prefixes(own, sent, words, num, den), "prefixes")
+    lists = staged(_token_lists(prefixes), "token_lists")
     members = lists.select("sid").distinct()
-    sketches = staged(_sketches(own, words).join(members, "sid", "left_semi"), "sketches")
-
-    star = lists.where((F.col("sid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("leader_n"), num, den)).select(
-        F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
-    star = staged(likely(star, sketches, num, den), "star_pairs")
-    links = staged(verified(star, own, sets, sent, words, num, den), "star_links")
-    cross = staged(_cross_pairs(lists, sketches, components(links), num, den), "cross_pairs")
-    more = staged(verified(cross, own, sets, sent, words, num, den), "cross_links")
-    roots = staged(components(links.unionByName(more)), "roots")
+    sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(members, "sid", "left_semi").groupBy(
+        "sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q))), "sketches")
+
+    links, roots, first = None, None, None
+    for turn in itertools.count():
+        open_ = _open_lists(lists, sketches, roots, turn)
+        new = verified(likely(_leader_pairs(open_, num, den), sketches, prefixes, num, den), own, sets, words, num, den)
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if found or roots is None:
+            roots = staged(components(links), "roots")
+        first = found if first is None else first
+        if found * YIELD <= first:
+            break
+    open_ = _open_lists(lists, sketches, roots, turn + 1)
+    rest = verified(likely(_rest_pairs(open_, num, den), sketches, prefixes, num, den), own, sets, words, num, den)
+    if rest.limit(1).count():
+        roots = staged(components(links.unionByName(rest)), "roots")
 
     # smallest id per component, then every row by its set
     named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
@@ -361,35 +371,75 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     return linked.unionByName(alone)
 
 
-def _cross_pairs(lists: DataFrame, sketches: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a token list that lie in different components so far, block by block."""
-    in_comp = lists.select("token", "sid", "members").join(
-        roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    in_comp = staged(in_comp, "lists_by_component")
-    mixed = in_comp.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = in_comp.join(mixed.select("token").hint("merge"), "token").join(sketches.hint("merge"), "sid")
+def _token_lists(prefixes: DataFrame) -> DataFrame:
+    """``(token, sid)`` of the first order's prefix tokens that several sets have."""
+    tokens = prefixes.select(F.explode("order0").alias("token"), "sid")
+    several = tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    return tokens.join(several.select("token").hint("merge"), "token").distinct()
+
+
+def _open_lists(lists: DataFrame, sketches: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Rows of the token lists whose members lie in several components: ``(token, sid, root, n, f0, ..., leads, members)``."""
+    folded = [functools.reduce(Column.bitwiseXOR, (F.col(q) for q in _Q[k::FOLDS])).alias(_F[k]) for k in range(FOLDS)]
+    nodes = sketches.select("sid", "n", *folded)
+    if roots is None:
+        nodes = nodes.withColumn("root", F.col("sid"))
+    else:
+        nodes = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = staged(lists.join(nodes.hint("merge"), "sid"), "lists_by_component")
+    key = F.xxhash64("token", "sid", F.lit(turn))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(key).alias("top"),
+                                      F.count("*").alias("members")).where("lo <> hi").drop("lo", "hi")
+    return rows.join(mixed.hint("merge"), "token").withColumn("leads", key == F.col("top")).drop("top")
+
+
+def _apart(num: int, den: int) -> Column:
+    return ((F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"), num, den)
+            & _parity_fits("x", "y", _F, num, den))
+
+
+def _leader_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of each list's leader with the members of other components."""
+    met = open_.alias("x").join(open_.where("leads").alias("y").hint("merge"),
+                                (F.col("x.token") == F.col("y.token")) & _apart(num, den))
+    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
+def _rest_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a token list that lie in different components, long lists block by block."""
+    pair = (F.col("x.sid") < F.col("y.sid")) & _apart(num, den)
+    ids = F.col("x.sid").alias("a"), F.col("y.sid").alias("b")
+    short = open_.where(F.col("members") <= BLOCK)
+    met = short.alias("x").join(short.alias("y").hint("merge"), (F.col("x.token") == F.col("y.token")) & pair).select(*ids)
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    x = open_.withColumn("other", every).alias("x")
-    y = open_.withColumn("other", every).alias("y")
+    cut = open_.where(F.col("members") > BLOCK).withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # a pair meets once: in (block of x, block of y), x being the one with the smaller id
-    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block"))
-                 & (F.col("x.block") == F.col("y.other")) & (F.col("x.sid") < F.col("y.sid"))
-                 & (F.col("x.root") != F.col("y.root"))
-                 & _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", num, den))
-    return met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    long = cut.alias("x").join(cut.alias("y").hint("merge"), (F.col("x.token") == F.col("y.token")) & (
+        F.col("x.other") == F.col("y.block")) & (F.col("x.block") == F.col("y.other")) & pair).select(*ids)
+    return met.unionByName(long).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component (its smallest id, one set of it), all columns as they were.
 
-    A verdict is on an id with its text, so other texts of the id stay; equal rows share it and stay together.
+    A verdict is on an id with its text, so other texts of the id stay.  Of rows that repeat an id and its
+    text one stays (the least by a hash of the row); rows with a null id or without words all stay.
     """
-    found = _row_components(docs, words, num, den, id_col, text_col)
+    found = staged(_row_components(docs, words, num, den, id_col, text_col), "row_components")
+    row = ["doc_id", "h1", "h2"]
     gone = staged(found.where((F.col("doc_id") != F.col("component")) | (F.col("sid") != F.col("kept"))).select(
-        F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "near_copies")
-    text = docs[text_col]
-    return docs.join(gone, (docs[id_col] == gone["__id"]) & (F.xxhash64(text) == gone["__h1"])
-                     & (F.hash(text) == gone["__h2"]), "left_anti")
+        *row).distinct(), "near_copies")
+    again = staged(found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*row).count().where(
+        "count > 1").select(*row), "repeated_rows")
+
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at, text = names[docs.columns.index(id_col)], F.col(names[docs.columns.index(text_col)])
+    keyed = docs.toDF(*names).withColumns({"doc_id": F.col(at), "h1": F.xxhash64(text), "h2": F.hash(text)})
+    kept = keyed.join(gone, row, "left_anti")
+    if again.limit(1).count():
+        body = F.struct(*names)
+        one = kept.join(again, row, "left_semi").groupBy(*row).agg(F.min_by(body, F.xxhash64(*names)).alias("r"))
+        kept = kept.join(again, row, "left_anti").select(*names).unionByName(one.select("r.*"))
+    return kept.select(*(F.col(n).alias(f.name, metadata=f.metadata) for n, f in zip(names, docs.schema.fields)))
