@@ -244,19 +244,22 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _passes(have: np.ndarray, key: np.ndarray) -> np.ndarray:
+    size = np.int64(len(have) * 8 - 1)
+    out = np.ones(len(key), bool)
+    for at in (key & size, (key.view(np.uint64) >> np.uint64(32)).astype(np.int64) & size):
+        out &= (have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def _bodies(own: DataFrame, wanted, words: int) -> DataFrame:
     """Whole sets ``(sid, tokens)`` of the rows whose id passes the filter.
 
     A scan with a broadcast filter of bounded size, so that texts are not shuffled.
     """
     def run(batches):
-        have = wanted.value
-        size = np.int64(len(have) * 8 - 1)
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            passed = np.ones(len(key), bool)
-            for at in (key & size, (key.view(np.uint64) >> np.uint64(32)).astype(np.int64) & size):
-                passed &= (have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            passed = _passes(wanted.value, batch.column("key").to_numpy(zero_copy_only=False))
             if not passed.any():
                 continue
             for i, j, raw, off in _texts(batch.filter(pa.array(passed))):
@@ -267,6 +270,16 @@ def _bodies(own: DataFrame, wanted, words: int) -> DataFrame:
     return rows.mapInArrow(run, "sid long, tokens array<long>")
 
 
+def _filters(prefixes: DataFrame, wanted) -> DataFrame:
+    """Prefixes under the further orders of the sets whose id passes the filter: a scan, no shuffle of the others."""
+    def run(batches):
+        for batch in batches:
+            passed = _passes(wanted.value, batch.column("key").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(passed)).drop_columns(["key"])
+    rows = prefixes.select("sid", *_ORDERS[1:], F.xxhash64("sid").alias("key"))
+    return rows.mapInArrow(run, "sid long, " + ", ".join(f"{c} array<int>" for c in _ORDERS[1:]))
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
 
@@ -297,7 +310,9 @@ def likely(pairs: DataFrame, sketches: DataFrame, prefixes: DataFrame, num: int,
     """Pairs ``(a, b)`` of set ids that whole sketches allow and that share a prefix token under every further order."""
     near = staged(_with_both(pairs, sketches, "n", *_Q).where(
         _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", _Q, num, den)).select("a", "b"), "near_pairs")
-    further = staged(prefixes.select("sid", *_ORDERS[1:]).join(_set_ids_of(near), "sid", "left_semi").dropDuplicates(["sid"]),
+    ids = staged(_set_ids_of(near), "near_ids")
+    wanted = near.sparkSession.sparkContext.broadcast(id_filter(ids, "sid"))
+    further = staged(_filters(prefixes, wanted).join(ids.hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]),
                      "needed_prefixes")
     both = _with_both(near, further, *_ORDERS[1:])
     for c in _ORDERS[1:]:
@@ -307,9 +322,9 @@ def likely(pairs: DataFrame, sketches: DataFrame, prefixes: DataFrame, num: int,
 
 def verified(pairs: DataFrame, own: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Pairs that link by their whole sets."""
-    needed = staged(_set_ids_of(pairs).join(sets, "sid"), "needed_sets")
+    needed = staged(_set_ids_of(pairs).join(sets.hint("merge"), "sid"), "needed_sets")
     wanted = own.sparkSession.sparkContext.broadcast(id_filter(needed, "rep"))
-    bodies = _bodies(own, wanted, words).join(needed.select("sid"), "sid", "left_semi")
+    bodies = _bodies(own, wanted, words).join(needed.select("sid").hint("merge"), "sid", "left_semi")
     if needed.where("copies > 1").limit(1).count():     # the id of a needed set repeats: one body each
         bodies = bodies.dropDuplicates(["sid"])
     both = _with_both(pairs, staged(bodies, "candidate_sets"), "tokens")
@@ -341,22 +356,23 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     prefixes = staged(_prefixes(own, sent, words, num, den), "prefixes")
     lists = staged(_token_lists(prefixes), "token_lists")
     members = lists.select("sid").distinct()
-    sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(members, "sid", "left_semi").groupBy(
+    sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(members.hint("merge"), "sid", "left_semi").groupBy(
         "sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q))), "sketches")
 
     links, roots, first = None, None, None
     for turn in itertools.count():
-        open_ = _open_lists(lists, sketches, roots, turn)
-        new = verified(likely(_leader_pairs(open_, num, den), sketches, prefixes, num, den), own, sets, words, num, den)
+        pairs = _leader_pairs(_with_nodes(lists, sketches, roots, turn), num, den)
+        new = verified(likely(pairs, sketches, prefixes, num, den), own, sets, words, num, den)
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if found or roots is None:
             roots = staged(components(links), "roots")
+            lists = staged(_still_open(lists, roots), "open_lists")
         first = found if first is None else first
         if found * YIELD <= first:
             break
-    open_ = _open_lists(lists, sketches, roots, turn + 1)
-    rest = verified(likely(_rest_pairs(open_, num, den), sketches, prefixes, num, den), own, sets, words, num, den)
+    pairs = _rest_pairs(_with_nodes(lists, sketches, roots, turn + 1), num, den)
+    rest = verified(likely(pairs, sketches, prefixes, num, den), own, sets, words, num, den)
     if rest.limit(1).count():
         roots = staged(components(links.unionByName(rest)), "roots")
 
@@ -372,25 +388,36 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
 
 
 def _token_lists(prefixes: DataFrame) -> DataFrame:
-    """``(token, sid)`` of the first order's prefix tokens that several sets have."""
+    """``(token, sid)`` of the first order's prefix tokens that were written more than once."""
     tokens = prefixes.select(F.explode("order0").alias("token"), "sid")
-    several = tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     return tokens.join(several.select("token").hint("merge"), "token").distinct()
 
 
-def _open_lists(lists: DataFrame, sketches: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Rows of the token lists whose members lie in several components: ``(token, sid, root, n, f0, ..., leads, members)``."""
-    folded = [functools.reduce(Column.bitwiseXOR, (F.col(q) for q in _Q[k::FOLDS])).alias(_F[k]) for k in range(FOLDS)]
-    nodes = sketches.select("sid", "n", *folded)
+def _rooted(table: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
-        nodes = nodes.withColumn("root", F.col("sid"))
-    else:
-        nodes = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        return table.withColumn("root", F.col("sid"))
+    return table.join(roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn(
+        "root", F.coalesce("root", "sid"))
+
+
+def _still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the lists whose members lie in several components."""
+    rows = staged(_rooted(lists, roots), "rooted_lists")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rows.join(mixed.select("token").hint("merge"), "token", "left_semi").select("token", "sid")
+
+
+def _with_nodes(lists: DataFrame, sketches: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """The lists with their sets' component, size and small sketch: ``(token, sid, root, n, f0, ..., leads, members)``."""
+    folded = [functools.reduce(Column.bitwiseXOR, (F.col(q) for q in _Q[k::FOLDS])).alias(_F[k]) for k in range(FOLDS)]
+    nodes = _rooted(sketches.select("sid", "n", *folded), roots)
     rows = staged(lists.join(nodes.hint("merge"), "sid"), "lists_by_component")
     key = F.xxhash64("token", "sid", F.lit(turn))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(key).alias("top"),
-                                      F.count("*").alias("members")).where("lo <> hi").drop("lo", "hi")
-    return rows.join(mixed.hint("merge"), "token").withColumn("leads", key == F.col("top")).drop("top")
+    heads = rows.groupBy("token").agg(F.max(key).alias("top"), F.count("*").alias("members"))
+    # both sides of the later joins ask for ``top``, so that one exchange serves them
+    return rows.join(heads.where(F.col("top").isNotNull() & (F.col("members") > 1)).hint("merge"), "token").withColumn(
+        "leads", key == F.col("top"))
 
 
 def _apart(num: int, den: int) -> Column:
