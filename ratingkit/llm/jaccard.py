@@ -10,8 +10,8 @@ and parity sketches allow it (``|x ^ y| >= popcount(px ^ py)``; 256 bits travel
 the whole sets fetched and compared.  All filters are lossless.
 
 What is asked for is components, so equal sets are one class from the start, and pairs that cannot
-change a component are not made.  A round links the members of each token list whose members lie in
-several components to a leader of the list, another one each round, and contracts the components;
+change a component are not made.  A round draws a leader for each token list whose members lie in
+several components, takes for each set the nearest of its lists' leaders, and contracts what links;
 rounds go on while they find a fair share of what the first one found.  At the end the pairs of a list
 that still lie in different components are made, long lists being cut into blocks, so no task meets
 one whole.  When the rounds end decides about work only.
@@ -288,11 +288,14 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
 
 
+def _distance(a: str, b: str, columns: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in columns), F.lit(0))
+
+
 def _parity_fits(a: str, b: str, columns: list[str], num: int, den: int) -> Column:
     """Lossless: linked sets differ in at most ``n + m - 2 ceil(num (n + m) / (num + den))`` tokens."""
     both = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in columns), F.lit(0))
-    return differ <= both - 2 * F.ceil(F.lit(num) * both / F.lit(num + den) - 1e-9)
+    return _distance(a, b, columns) <= both - 2 * F.ceil(F.lit(num) * both / F.lit(num + den) - 1e-9)
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -426,10 +429,15 @@ def _apart(num: int, den: int) -> Column:
 
 
 def _leader_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each list's leader with the members of other components."""
+    """For each set the nearest, by the small sketches, of its lists' leaders in other components: one pair a set.
+
+    One link is enough to contract; leaders passed over here come again in later rounds or among the rest.
+    """
     met = open_.alias("x").join(open_.where("leads").alias("y").hint("merge"),
                                 (F.col("x.token") == F.col("y.token")) & _apart(num, den))
-    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    far = F.shiftleft(_distance("x", "y", _F).cast("long"), 48) + F.pmod(F.xxhash64("x.token", "y.sid"), F.lit(1 << 48))
+    best = met.groupBy(F.col("x.sid").alias("sid")).agg(F.min_by("y.sid", far).alias("leader"))
+    return best.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
 
 
 def _rest_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
