@@ -116,32 +116,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("op9_line_spread", r"""
-WITH lines AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS site, i AS at, string_split(text, chr(10))[i] AS raw
-  FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
-        FROM documents WHERE length(text) > 0)),
-kept AS (
+WITH texts AS (
+  SELECT text, min(CAST('0x' || left(md5(coalesce('1' || source, '')), 15) AS BIGINT)) AS site
+  FROM documents WHERE length(text) > 0 GROUP BY text),
+lines AS (
+  SELECT text, site, unnest(string_split(text, chr(10))) AS raw,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM texts),
+trimmed AS (
   SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
-long AS (
-  SELECT * FROM kept WHERE length(line) - length(replace(line, ' ', '')) >= 2),
 shared AS (
-  SELECT line FROM long GROUP BY line HAVING count(DISTINCT site) >= 8),
+  SELECT line FROM trimmed WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT site) >= 8),
+marked AS (
+  SELECT t.*, s.line IS NOT NULL AS hit FROM trimmed t LEFT JOIN shared s ON s.line = t.line),
 cuts AS (
-  SELECT doc_id, count(*) AS n, sum(length(raw)) AS chars FROM long WHERE line IN (SELECT line FROM shared)
-  GROUP BY doc_id),
-judged AS (
-  SELECT d.doc_id, d.text, coalesce(c.chars <= 0.5 * length(d.text), false) AS cut, c.n, c.chars
-  FROM documents d LEFT JOIN cuts c USING (doc_id)),
-texts AS (
-  SELECT k.doc_id, string_agg(k.raw, chr(10) ORDER BY k.at) AS text
-  FROM kept k JOIN judged j USING (doc_id)
-  WHERE NOT (j.cut AND length(k.line) - length(replace(k.line, ' ', '')) >= 2
-             AND k.line IN (SELECT line FROM shared))
-  GROUP BY k.doc_id)
-SELECT j.doc_id, CASE WHEN j.cut THEN n ELSE 0 END AS lines_cut,
-       CAST(CASE WHEN j.cut THEN j.chars ELSE 0 END AS BIGINT) AS chars_cut,
-       sha256(coalesce(CASE WHEN j.cut THEN t.text ELSE j.text END, '')) AS text_sha256
-FROM judged j LEFT JOIN texts t USING (doc_id)""")
+  SELECT text, count(*) FILTER (hit) AS n, sum(length(raw)) FILTER (hit) AS chars,
+         string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit) AS rest
+  FROM marked GROUP BY text)
+SELECT d.doc_id, coalesce(c.n, 0) AS lines_cut, CAST(coalesce(c.chars, 0) AS BIGINT) AS chars_cut,
+       sha256(coalesce(c.rest, '')) AS text_sha256
+FROM documents d LEFT JOIN cuts c ON c.text = d.text""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_spread import cut_shared_lines
     cut = cut_shared_lines(_table(spark, sf_dir, "documents"))

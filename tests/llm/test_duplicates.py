@@ -147,24 +147,19 @@ def test_multikey_order():
     assert len(set(group.tolist())) == len(set(rows))
 
 
-def brute_lines(rows, min_sites, min_words, share):
+def brute_lines(rows, min_sites, min_chars):
     trim = lambda x: x.strip(" \t\r")
-    spread = {}
+    site = lambda s: hashlib.md5(b"" if s is None else b"1" + s.encode()).hexdigest()
+    of_text, spread = {}, {}
     for _, t, s in rows:
-        for x in (t or "").split("\n"):
-            if trim(x).count(" ") >= min_words - 1:
+        if t:
+            of_text[t] = min(of_text.get(t, "g"), site(s))
+    for t, s in of_text.items():
+        for x in t.split("\n"):
+            if len(trim(x)) >= min_chars:
                 spread.setdefault(trim(x), set()).add(s)
     shared = {x for x, s in spread.items() if len(s) >= min_sites}
-    out = []
-    for d, t, _ in rows:
-        if t is None:
-            out.append((str(d), None))
-            continue
-        lines = t.split("\n")
-        bad = [x for x in lines if trim(x) in shared]
-        cut = bad and sum(map(len, bad)) <= share * len(t)
-        out.append((str(d), "\n".join(x for x in lines if trim(x) not in shared) if cut else t))
-    return sorted(out, key=str)
+    return sorted(((str(d), t and "\n".join(x for x in t.split("\n") if trim(x) not in shared)) for d, t, _ in rows), key=str)
 
 
 def line_corpus():
@@ -186,23 +181,39 @@ def test_shared_lines_against_brute_force(spark, sites):
     docs = frame(spark, rows)
     got = line_spread.cut_shared_lines(docs, min_sites=sites)
     assert got.columns == [*docs.columns, "__lines_cut", "__chars_cut"]
-    assert sorted(((str(r["doc_id"]), r["text"]) for r in got.collect()), key=str) == brute_lines(rows, sites, 3, 0.5)
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in got.collect()), key=str) == brute_lines(rows, sites, 10)
 
 
 def test_shared_lines_of_an_empty_table(spark):
     assert line_spread.cut_shared_lines(frame(spark, [])).collect() == []
 
 
-def test_pipeline_leaves_only_copies_whole(spark):
+def test_shared_lines_of_copies_and_of_scripts_without_spaces(spark):
+    cjk, foot = "\u3053\u306e\u30b5\u30a4\u30c8\u306e\u5185\u5bb9\u306f\u4fdd\u8b77\u3055\u308c\u3066\u3044\u307e\u3059", "all rights reserved by the owners"
+    rows = [(k, f"text {k}\n{foot}\n{cjk}", f"s{k}") for k in range(12)]
+    rows += [(20 + k, f"a copied text\n{foot}", f"s{k}") for k in range(15)]       # copies on 15 sites
+    rows += [(None, f"a copied text\n{foot}", None), (50, f"{foot}\n {cjk}\t", "s1"), (51, "short\nshort", "s2")]
+    rows += [(60 + k, "short", f"s{k}") for k in range(9)]
+    got = line_spread.cut_shared_lines(frame(spark, rows)).collect()
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == len(rows)
+    assert all(texts[k] == f"text {k}" for k in range(12))
+    assert all(texts[k] == "a copied text" for k in (*range(20, 35), None))
+    assert texts[50] == "" and texts[51] == "short\nshort" and texts[60] == "short"
+    cut = {r["doc_id"]: (r["__lines_cut"], r["__chars_cut"]) for r in got}
+    assert cut[3] == (2, len(foot) + len(cjk)) and cut[50] == (2, len(foot) + len(cjk) + 2) and cut[51] == (0, 0)
+
+
+def test_pipeline_cuts_copies_alike(spark):
     import corpus_pipeline
     head, foot = "welcome to this fine page", "all rights reserved by the owners"
     page = lambda x: f"{head}\n{x}\n{foot}"
     rows = [(k, page(f"text {k}"), f"s{k}") for k in range(9)]           # short pages, no copies
-    rows += [(k, page("same"), "s1") for k in (20, 21)]                  # a copy under two ids
-    rows += [(30, page("again"), "s2"), (30, page("again"), "s2"), (None, page("same"), "s3"), (40, foot, "s4"), (41, "", "s4")]
+    rows += [(k, page("same"), f"s{k}") for k in range(20, 32)]          # copies
+    rows += [(33, page("again"), "s2"), (33, page("again"), "s2"), (None, page("same"), "s3"), (40, foot, "s4"), (41, "", "s4")]
     docs = frame(spark, rows).withColumn("n_chars", F.length("text"))
     got = corpus_pipeline.cut_boilerplate(spark, docs, "").collect()
-    want = [(k, f"text {k}") for k in range(9)] + [(20, page("same")), (21, page("same")), (30, "again"), (30, "again"),
-                                                   (None, "same"), (40, ""), (41, "")]
+    want = [(k, f"text {k}") for k in range(9)] + [(k, "same") for k in (*range(20, 32), None)] + [
+        (33, "again"), (33, "again"), (40, ""), (41, "")]
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(d), t) for d, t in want)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
