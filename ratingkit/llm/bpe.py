@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import gather_ranges, range_hashes
+from .common import gather_ranges, word_hashes
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 PROBED = 0x10000
@@ -133,7 +133,7 @@ class Encoder:
             return self._encode_mixed(texts, far, end)
         starts = split_points(points, bounds, self.classes)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        hashes = range_hashes(points, starts, ends)
+        hashes = word_hashes(points, starts, ends)
         if len(self.hashes) > CACHE_ENTRIES:
             self._forget()
         distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)

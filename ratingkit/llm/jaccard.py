@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, gather_ranges, mix, narrow, pieces, prepare, range_hashes, staged
+from .common import byte_view, gather_ranges, mix, narrow, pieces, prepare, word_hashes, staged
 from .components import components
 
 ORDERS = 3
@@ -76,7 +76,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarr
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | begin[1:]
     s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    h = range_hashes(low, s, e)
+    h = word_hashes(low, s, e)
     upto = np.searchsorted(s, offsets)
     n_words = np.diff(upto)
     n = np.where(n_words == 0, 0, np.maximum(n_words - words + 1, 1))

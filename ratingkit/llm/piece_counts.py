@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PROBED, _BYTE_LETTERS, load_tokenizer, probe_classes, split_points
-from .common import byte_view, narrow, pieces, prepare, range_hashes
+from .common import byte_view, narrow, pieces, prepare, word_hashes
 
 CACHE_ENTRIES = 2_000_000
 
@@ -109,7 +109,7 @@ class PieceCounter:
         # code points beyond the probed plane count as symbols
         starts = split_points(np.minimum(points, PROBED - 1), bounds, self.classes)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        distinct, sample, inverse = np.unique(range_hashes(points, starts, ends), return_index=True,
+        distinct, sample, inverse = np.unique(word_hashes(points, starts, ends), return_index=True,
                                               return_inverse=True)
         if len(self.hashes) > CACHE_ENTRIES:
             self.hashes, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ratingkit.llm import bitplanes, bpe, packing
-from ratingkit.llm.common import shared_path
-from ratingkit.llm.piece_counts import PieceAutomaton, byte_vocabulary, token_counts
+from ratingkit.llm.common import shared_path, word_hashes
+from ratingkit.llm.piece_counts import PieceAutomaton, PieceCounter, byte_vocabulary, token_counts
 
 from .helpers import awkward_rows, by_id, frame
 
@@ -30,6 +30,21 @@ def test_encoder_equals_the_library(texts):
     assert [ids[off[k]:off[k + 1]].tolist() for k in range(len(texts))] == [ids_of(t, 7) for t in texts]
 
 
+def test_long_regular_words_stay_apart():
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))      # these collide modulo 2**64
+    b = a.translate(str.maketrans("ab", "ba"))
+    encoder = bpe.Encoder(PATH, ENCODER.classes)
+    for text in (a, b, f"{a} {b}", f"x {b}"):
+        assert encoder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    counter = PieceCounter(PieceAutomaton(byte_vocabulary(PATH)), ENCODER.classes)
+    fresh = PieceCounter(counter.automaton, ENCODER.classes)
+    counter.count([a])
+    assert counter.count([b])[1] == fresh.count([b])[1]
+    points = np.frombuffer(("\u4e00" * 40 + a + "\u4e00" * 40 + a).encode("utf-32-le"), np.uint32)
+    h = word_hashes(points, np.array([0, 40, 1064, 1104]), np.array([40, 1064, 1104, 2128]))
+    assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 2
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=400), st.sampled_from([1, 8]), st.integers(1, 64))
 def test_planes_round_trip(ids, kind, block):
