@@ -145,22 +145,29 @@ def slot_loads(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], l
     return load, rows
 
 
+def in_cells(records: DataFrame, rows: list[int]) -> DataFrame:
+    """``records`` (read from files) with ``cell``: slots of many rows are dealt to cells by a row's place in its
+    file, which is its own among equal rows too."""
+    split = [max(1, -(-n // ROWS_PER_CELL)) for n in rows]
+    own = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    return records.withColumn("cell", F.pmod(own, _entry(split, F.col("virtual_slot"))).cast("int"))
+
+
 def place(records: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
     """Shard and gapless position in it per record.
 
-    Positions are numbered inside cells (a slot, or a sub-range of a slot's hashes when slots hold
-    many rows) and shifted by the rows of the cells before, so no task numbers a whole shard.
+    Positions are numbered inside cells and shifted by the rows of the cells before, so no task numbers a
+    whole shard, nor all of many equal rows.
     """
     n_slots = len(slot_map.shards)
-    split = max(1, -(-sum(rows) // (n_slots * ROWS_PER_CELL)))
-    cells = records.withColumn("cell", F.pmod(F.xxhash64("hash", "size"), F.lit(split)).cast("int"))
+    cells = in_cells(records, rows)
     base, at = [0] * n_slots, [0] * slot_map.n_shards
     for slot, shard in enumerate(slot_map.shards):
         base[slot] = at[shard]
         at[shard] += rows[slot]
     numbered = cells.withColumn("rn", F.row_number().over(
         Window.partitionBy("virtual_slot", "cell").orderBy("doc_id", "hash")) - 1)
-    if split > 1:
+    if max(rows) > ROWS_PER_CELL:
         counts = cells.groupBy("virtual_slot", "cell").agg(F.count("*").alias("n"))
         before = counts.select("virtual_slot", "cell", (F.sum("n").over(
             Window.partitionBy("virtual_slot").orderBy("cell")) - F.col("n")).alias("before"))

@@ -94,6 +94,20 @@ def test_cells_split_hot_slots(spark, monkeypatch):
         assert places == list(range(len(places)))
 
 
+def test_cells_split_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 40)
+    rows = [(1, "same", "s")] * 600 + [(None, None, "s")] * 200 + [(k, f"t{k}", "s") for k in range(2, 200)]
+    docs = frame(spark, rows).repartition(4)
+    got = sharding.shard_by_slots(docs, 2, n_slots=8)[0].collect()
+    assert len(got) == len(rows)
+    for s in range(2):
+        places = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert places == list(range(len(places)))
+    records = sharding.staged(sharding.sized_records(docs, n_slots=8), "records")
+    cells = sharding.in_cells(records, sharding.slot_loads(records, 8)[1]).groupBy("virtual_slot", "cell").count()
+    assert max(r["count"] for r in cells.collect()) < 80
+
+
 def test_shards_of_an_empty_table(spark):
     assert sharding.shard_by_slots(frame(spark, []), 4)[0].collect() == []
 
