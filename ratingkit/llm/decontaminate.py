@@ -232,7 +232,7 @@ def window_hits(shard: Shard, block: Block):
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[Block]:
     """The benchmark in blocks of about ``block_bytes``; one at a time is on the driver."""
     b = staged(benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item_id"),
-                                F.coalesce(benchmark[text_col], F.lit("")).alias("text")), "benchmark")
+                                F.coalesce(benchmark[text_col], F.lit("")).alias("text")).distinct(), "benchmark")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     for k in range(n):
