@@ -27,9 +27,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many sites are cut from the texts; every document stays, ``n_chars`` follows its text.
 
-    Only copies that hold little else are left whole: the next stage keeps one of them.
+    Equal texts are cut alike and stay copies for the next stage.
     """
-    cut = line_spread.cut_shared_lines(docs, copies_only=True)
+    cut = line_spread.cut_shared_lines(docs)
     columns = [F.when(F.col("__lines_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
         docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return cut.select(columns)
