@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import cut_lineage
 from .folds import row_index
 
-REGEX_CHUNK = 512           # literal patterns per expression; larger vocabularies take several passes
+REGEX_CHUNK = 512           # patterns without a literal that are tried on a text at once
+REGEX_SALTS = 16            # parts of the texts that share a gram
 
 
 def tokens(df: DataFrame, id_col: str, col: str, sep: str = ", ") -> DataFrame:
@@ -52,21 +53,63 @@ def indicators(df: DataFrame, id_col: str, columns: Sequence[str], sep: str = ",
     return out
 
 
+def _grams(value: Column, q: Column) -> Column:
+    """Substrings of ``q`` characters of ``value``, one per place."""
+    places = F.when(F.length(value) >= q, F.sequence(F.lit(1), F.length(value) - q + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substr(value, i, q))
+
+
+def _literal_runs(pattern: Column) -> Column:
+    """Plain strings that every match of the regex ``pattern`` holds; none where its syntax (alternatives,
+    classes, escapes, counted repeats, nested or special groups) leaves that open."""
+    gap = F.lit("\0")
+    flat = F.regexp_replace(pattern, F.lit(r"\([^()]*\)"), gap)
+    unclear = pattern.rlike(r"[|\\\[\]{}]|\(\?") | flat.rlike("[()]")
+    flat = F.regexp_replace(flat, F.lit("(?s).[?*]"), gap)           # what may be absent
+    flat = F.regexp_replace(flat, F.lit("[.+^$?*]"), gap)
+    runs = F.filter(F.split(flat, "\0"), lambda r: r != F.lit(""))
+    return F.when(unclear, F.array().cast("array<string>")).otherwise(runs)
+
+
+def _regex_pairs(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(_text, token)`` where the regex ``token`` is found in ``_text``; both columns are distinct.
+
+    Every match of a pattern holds the pattern's literal runs, so it holds each of their grams (3 characters,
+    fewer where no run is that long).  The rarest of these meets the texts' grams in an equi-join, salted
+    against frequent grams, and the regex runs on what is left.  Patterns without a literal go to the
+    texts in blocks of ``REGEX_CHUNK``.
+    """
+    runs = vocab.select("token", _literal_runs(F.col("token")).alias("_runs")).withColumn(
+        "_q", F.when(F.size("_runs") > 0, F.least(F.lit(3), F.array_max(F.transform("_runs", F.length)))))
+    plain, open_ = runs.where("_q IS NOT NULL"), runs.where("_q IS NULL")
+    sizes = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_text"), F.lit(q)) for q in (1, 2, 3)])))
+    grams = texts.select("_text", F.explode(sizes).alias("_gram"))
+    frequency = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = plain.select("token", F.explode(F.array_distinct(F.flatten(F.transform(
+        "_runs", lambda r: _grams(r, F.col("_q")))))).alias("_gram"))
+    rarest = own.join(frequency, "_gram", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g")))["g"].alias("_gram"))
+    salt = F.pmod(F.xxhash64("_text"), F.lit(REGEX_SALTS)).cast("int").alias("_salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(REGEX_SALTS - 1))).alias("_salt")
+    found = grams.select("*", salt).join(rarest.select("*", every), ["_gram", "_salt"]).where(
+        F.rlike("_text", F.col("token"))).select("_text", "token")
+    n_open = open_.count()
+    if not n_open:
+        return found
+    n = -(-n_open // REGEX_CHUNK)
+    blocks = open_.groupBy(F.pmod(F.xxhash64("token"), F.lit(n)).cast("int").alias("_block")).agg(
+        F.collect_list("token").alias("_tokens")).select("_block", "_tokens", every)
+    tried = texts.select("_text", salt, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block")).join(
+        blocks, ["_block", "_salt"])
+    hits = F.filter("_tokens", lambda t: F.rlike("_text", t))
+    return found.unionByName(tried.select("_text", F.explode(hits).alias("token")))
+
+
 def _regex_indicators(df: DataFrame, id_col: str, col: str, sep: str) -> DataFrame:
-    # every token is tested on every row; the driver holds one chunk of the vocabulary at a time
-    vocab = cut_lineage(vocabulary(df, col, sep))
-    n = max(1, -(-vocab.count() // REGEX_CHUNK))
-    base = df.select(id_col, col)
-    parts = []
-    for i in range(n):
-        chunk = sorted(r[0] for r in vocab.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i).collect())
-        # literal patterns: each compiled once per task, evaluated map-side, no join
-        hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(col).rlike(t), F.lit(t)) for t in chunk]))
-        parts.append(base.select(id_col, F.explode(hits).alias("token")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("column", F.lit(col)).select(id_col, "column", "token")
+    base = df.select(id_col, F.col(col).alias("_text")).where(F.col("_text").isNotNull())
+    pairs = _regex_pairs(base.select("_text").distinct(), cut_lineage(vocabulary(df, col, sep)))
+    return base.join(pairs, "_text").withColumn("column", F.lit(col)).select(id_col, "column", "token")
 
 
 def indicators_wide(long: DataFrame, id_col: str, vocab: Sequence[str], prefix: str = "has_") -> DataFrame:

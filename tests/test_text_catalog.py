@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from ratingkit.functions import text
 from ratingkit.operators import catalog
@@ -37,6 +40,30 @@ def test_indicator_modes(spark):
     assert got == {1: (False, True), 2: (True, False)}
 
 
+def test_regex_index_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "REGEX_CHUNK", 2)
+    rng = random.Random(5)
+    words = ["Ab", "b+c", "a?bc", "x(yz)?b", "(ab)+c", "a.c", "...", "A|bc", "[ab]c", "a{2}b", "c*", "b$", "^ab", "C++",
+             "ab*?c", "a+?b", "\\d", "Lic (0)", "((a)b)c", "\u00e9\U0001f600x", "z", "(?i)AB", "abc", "a\nb", "bc (ab)"]
+    rows = [(k, ", ".join(rng.sample(words, rng.randint(1, 4))) + rng.choice(["", "aab", "abcabc", "x", "AB1"]))
+            for k in range(60)] + [(7, "abc"), (7, "abc"), (61, None), (62, ""), (None, "abcabc")]
+    df = spark.createDataFrame(rows, "id long, p string")
+    vocab = [r.token for r in catalog.vocabulary(df, "p").collect()]
+    want = []
+    for t in vocab:
+        want += [(r.id, t) for r in df.where(F.col("p").rlike(t)).collect()]
+    got = catalog.indicators(df, "id", ["p"], mode="regex").collect()
+    assert len(vocab) > 30 and sorted(((r.id, r.token) for r in got), key=str) == sorted(want, key=str)
+    assert catalog.indicators(df.limit(0), "id", ["p"], mode="regex").collect() == []
+
+
+def test_literal_runs_are_in_every_match(spark):
+    runs = {"abc": ["abc"], "Lic (0)": ["Lic "], "a?bc": ["bc"], "C++": ["C"], "ab*?c": ["a", "c"], "a|b": [], "[ab]c": [],
+            "((a)b)c": [], "x(yz)?b": ["x", "b"], "...": [], "a{2}b": [], "^ab$": ["ab"]}
+    df = spark.createDataFrame([(t,) for t in runs], "t string")
+    assert {r.t: r.runs for r in df.select("t", catalog._literal_runs(F.col("t")).alias("runs")).collect()} == runs
+
+
 def test_category_code_orders(spark):
     df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a"), (5, None)], "id long, t string")
     first = {r.t: r.t_code for r in catalog.category_code(df, "t", "id").collect()}
