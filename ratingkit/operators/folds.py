@@ -83,17 +83,40 @@ def binned_stratum(col: str, width: float, out: str = "stratum") -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long").alias(out)
 
 
+def _offsets_by_size(sizes: DataFrame) -> DataFrame:
+    """``(_gsize, _hb, _off)``: groups ranked before a bucket when sizes fall and hash buckets rise.
+
+    Prefix sums on three levels, so no task orders all sizes: bands of near sizes (64 for each power of
+    two, at most some 4,000 whatever the data), sizes inside a band, hash buckets inside a size.
+    """
+    counts = sizes.groupBy("_gsize", "_hb").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_band", F.floor(F.log2("_gsize") * 64))
+    per_size = counts.groupBy("_band", "_gsize").agg(F.sum("_n").alias("_n"))
+    bands = per_size.groupBy("_band").agg(F.sum("_n").alias("_n")).agg(
+        F.sort_array(F.collect_list(F.struct("_band", "_n")), asc=False).alias("_all"))
+    band_off = bands.select(F.explode(F.transform("_all", lambda x, i: F.struct(
+        x["_band"].alias("_band"), F.aggregate(F.slice("_all", F.lit(1), i), F.lit(0).cast("long"),
+                                               lambda acc, y: acc + y["_n"]).alias("_band_off")))).alias("_x")).select("_x.*")
+    before = lambda part, order: F.coalesce(F.sum("_n").over(Window.partitionBy(part).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    size_off = per_size.select("_band", "_gsize", before("_band", F.col("_gsize").desc()).alias("_size_off")).join(
+        band_off, "_band").select("_gsize", (F.col("_band_off") + F.col("_size_off")).alias("_size_off"))
+    inside = counts.select("_gsize", "_hb", before("_gsize", F.col("_hb")).alias("_hb_off"))
+    return inside.join(size_off, "_gsize").select("_gsize", "_hb", (F.col("_size_off") + F.col("_hb_off")).alias("_off"))
+
+
 def group_kfold(df: DataFrame, group_col: str, k: int = 5, fold_col: str = "fold", seed: int = 42,
                 salt_digits: int | None = None) -> DataFrame:
     """Group k-fold (SP4): a group never spans two folds.  Groups are ranked by size (desc, ties
     by ``md5``) and dealt in snake order ``0..k-1, k-1..0, ...`` so fold sizes stay close.  Rows
     without a group are one group."""
     salt_digits = salt_digits or bucket_digits(df)
-    sizes = (df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gsize"))
-               .withColumn("_hk", hash_key([group_col], seed))
-               .withColumn("_hb", F.substring("_hk", 1, salt_digits)))
-    ranked = bucketed_row_number(sizes, [], ["_gsize", "_hb"], [F.col("_gsize").desc(), F.col("_hb")],
-                                 [F.col("_hk"), F.col(group_col)], "_rn")
+    sizes = cut_lineage(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gsize"))
+                          .withColumn("_hk", hash_key([group_col], seed))
+                          .withColumn("_hb", F.substring("_hk", 1, salt_digits)))
+    inside = Window.partitionBy("_gsize", "_hb").orderBy("_hk", group_col)
+    ranked = sizes.join(_offsets_by_size(sizes), ["_gsize", "_hb"]).withColumn(
+        "_rn", F.col("_off") + F.row_number().over(inside))
     r = F.col("_rn") - 1
     snake = F.when((F.floor(r / k) % 2) == 0, r % k).otherwise(k - 1 - r % k)
     folds = ranked.select(group_col, snake.cast("int").alias(fold_col))

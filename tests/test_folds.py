@@ -1,3 +1,7 @@
+import hashlib
+import random
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -40,6 +44,21 @@ def test_group_kfold_no_group_in_two_folds(spark):
     assert sizes.max() - sizes.min() <= 14          # at most one group size apart
 
 
+def test_group_kfold_deals_the_global_order(spark):
+    rng = random.Random(2)
+    sizes = [1] * 60 + [2] * 40 + [rng.randint(3, 400) for _ in range(60)] + [900, 901, 902, 903]   # near sizes share a band
+    groups = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "g long, n int")
+    df = groups.selectExpr("g", "explode(sequence(1, n)) AS i")
+    got = {r.g: r.fold for r in folds.group_kfold(df, "g", 5).select("g", "fold").distinct().collect()}
+    key = lambda g: hashlib.md5(f"42|{g}".encode()).hexdigest()
+    order = sorted(range(len(sizes)), key=lambda g: (-sizes[g], key(g), g))
+    assert got == {g: r % 5 if r // 5 % 2 == 0 else 4 - r % 5 for r, g in enumerate(order)}
+    plan = folds.group_kfold(df, "g", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(" in plan
+    assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan)      # every window has a partition
+    assert folds.group_kfold(df.limit(0), "g", 5).collect() == []
+
+
 def test_row_index_dense_in_order(spark):
     out = folds.row_index(_frame(spark).repartition(5), ["item_id"]).toPandas().sort_values("item_id")
     assert list(out.row_nr) == list(range(500))
