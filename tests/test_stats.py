@@ -113,3 +113,23 @@ def test_rmse_by_fold_ignores_missing_predictions(spark):
     from ratingkit.operators import evaluate
     df = spark.createDataFrame([(0, 5, 3.0), (0, 5, None), (0, 5, 3.0)], "fold int, score int, pred double")
     assert {(r.fold, r.n_rows, r.rmse) for r in evaluate.rmse_by_fold(df).collect()} == {(0, 3, 2.0), (-1, 3, 2.0)}
+
+
+def test_severity_reads_its_tables_once(spark, monkeypatch, tmp_path):
+    """The mean and the rows share one stored encoding; the ratings are joined once."""
+    from ratingkit.plans import queries as q
+    spark.createDataFrame([(o, o % 3, 5.0 + 5 * (o % 7)) for o in range(40)], "l_orderkey long, l_partkey long, l_quantity double"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 4) for o in range(40)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    frames = []
+    keep = q.stored
+    monkeypatch.setattr(q, "stored", lambda df, name: frames.append(name) or keep(df, name))
+    out = q.q_severity(spark, str(tmp_path))
+    assert frames == ["train", "encoded"]
+    assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == q._train(spark, str(tmp_path)).count() > 0
+    for r in rows:
+        if r.te_item_id_mean_score is not None:
+            assert abs(r.calibrated_anime_mean_score - r.te_item_id_mean_score - r.severity_scale) < 3e-6
