@@ -116,7 +116,7 @@ def test_pipeline_stages(spark):
     clean = P.staged(stages["toxicity"](spark, docs, SF), "t")
     assert clean.columns == columns and 0 < clean.count() <= docs.count()
     lines = P.staged(stages["line_dedup"](spark, clean, SF), "t")
-    assert sorted(((str(d), t) for d, t, _ in rows(lines)), key=str) == brute_lines(rows(clean), 8, 3, 0.5)
+    assert sorted(((str(d), t) for d, t, _ in rows(lines)), key=str) == brute_lines(rows(clean), 8, 10)
     single = P.staged(stages["near_duplicates"](spark, lines, SF), "t")
     found = brute_components(rows(lines), 5, 80, 100)
     assert {d for d, *_ in rows(single)} == {d for d, (_, root) in found.items() if d == root}
