@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,29 @@ def test_pipeline_cuts_copies_alike(spark):
         (33, "again"), (33, "again"), (40, ""), (41, "")]
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(d), t) for d, t in want)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_equal_classes_compare_all_columns(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 4, 400).astype(np.uint64) for _ in range(3)]
+    rows = list(zip(*(w.tolist() for w in words)))
+
+    def check():
+        order, group = suffix_dedup.equal_classes(words)
+        assert sorted(order) == list(range(400))
+        of = dict(zip(order.tolist(), group.tolist()))
+        assert len(set(group.tolist())) == len(set(rows)) == len({(rows[k], of[k]) for k in range(400)})
+        assert (np.diff(group) >= 0).all()
+    check()
+    monkeypatch.setattr(suffix_dedup, "mix", lambda h: h & np.uint64(1))       # hashes that collide
+    check()
+
+
+def test_hits_travel_packed():
+    doc, start, end = np.array([-7, -7, 3, 2 ** 40]), np.array([0, 90, 5, 2 ** 31]), np.array([50, 150, 61, 2 ** 31 + 50])
+    back = suffix_dedup._unpack_hits(suffix_dedup._pack_hits(doc, start, end))
+    assert [x.tolist() for x in back] == [doc.tolist(), start.tolist(), end.tolist()]
+    docs = pa.table({"doc_id": pa.array([3, 4, 3, 9]), "text": ["x" * 70, "y" * 10, "x" * 20, None], "part": [0, 0, 0, 0]})
+    got = suffix_dedup._cut_rows(docs, (np.array([3, 3, 4]), np.array([5, 60, 0]), np.array([55, 200, 10])), True)
+    assert got.column("n_removed").to_pylist() == [60, 10, 15, 0] and got.column("n_spans").to_pylist() == [2, 1, 1, 0]
+    assert [len(x) for x in got.column("kept").to_pylist()] == [10, 0, 5, 0]
