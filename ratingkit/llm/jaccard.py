@@ -1,17 +1,24 @@
-"""Jaccard self-join of word shingles: prefix filters under several token orders, then verification.
-
-Two documents link when their shingle sets reach the threshold (``num / den``).  For any total order
-of tokens two linked sets share a token among their first ``n - ceil(t n) + 1``.  Here several orders
-are used: each puts tokens of the same frequency class in the order of another hash, rare classes
-first (the classes come from counts of all documents, in a table of fixed size).  One scan writes the
-prefixes of every set under all orders.  The first order's are joined; a pair survives only if sizes
-and parity sketches allow it (``|x ^ y| >= popcount(px ^ py)``; 256 bits travel with the token rows,
-1,024 are met afterwards) and if it shares a prefix token under every other order too.  Only then are
-the whole sets fetched and compared.  All filters are lossless.
+"""Jaccard self-join of word shingles: filters under several token orders, then verification.
+
+Two documents link when their shingle sets reach the threshold (``num / den``); they then differ in at
+most ``D`` tokens, ``D`` growing with their sizes.  A single shared token says little of long texts,
+so the pairs come from many orders: the tokens' hash order is cut into over ``D`` parts, and each order
+begins with another part.  A differing token spoils the beginning of one order only, so two linked
+sets begin alike, with the same whole run of tokens, under at least one of them; the hashes of these
+runs are joined.  The number of parts must be the same for both sets, so sizes are cut into classes
+and a set takes part in each class that a larger partner may be of.  Runs without a token that is not
+common say little and are not joined; a set left with too few others joins by its prefix tokens.
+
+A pair survives only if sizes and parity sketches allow it (``|x ^ y| >= popcount(px ^ py)``; 256 bits
+travel with the token rows, 1,024 are met afterwards) and if it passes the prefix filter under
+``ORDERS`` further orders: for any total order two linked sets share a token among their first
+``n - ceil(t n) + 1``.  Each of these puts tokens of the same frequency class in the order of another
+hash, rare classes first (the classes come from counts of all documents, in a table of fixed size).
+Only then are the whole sets fetched and compared.  All filters are lossless.
 
 What is asked for is components, so equal sets are one class from the start, and pairs that cannot
 change a component are not made.  A round links the members of each token list whose members lie in
-several components to a leader of the list, another one each round, and contracts the components;
+several components to a leader of the list (long ones to four), other ones each round, and contracts;
 rounds go on while they find a fair share of what the first one found.  At the end the pairs of a list
 that still lie in different components are made, long lists being cut into blocks, so no task meets
 one whole.  When the rounds end decides about work only.
@@ -32,7 +39,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_view, gather_ranges, mix, narrow, pieces, prepare, word_hashes, staged
@@ -43,12 +50,20 @@ ORDERS = 3
 SKETCH_BITS = 21
 SLICE_BITS = 15
 PARITY_WORDS = 16
+# Lower bounds of the size classes, each some three tenths above the one before.
+SIZES = [1]
+while SIZES[-1] < 1 << 40:
+    SIZES.append(max(SIZES[-1] + 1, SIZES[-1] * 13 // 10))
+# A token is common when its bucket is met this many times as often (a power of two) as the mean one.
+COMMON = 3
 # Largest Bloom filter of the ids whose sets are fetched for verification (64 MB).
 FILTER_BITS = 1 << 29
 # Members per block of a long token list.
 BLOCK = 2048
 # Rounds of leaders go on while one finds more than this part of the first one's links.
-YIELD = 50
+YIELD = 20
+# Lists of more members have four leaders a round instead of one.
+MANY = 8
 # Text bytes shingled at once (whole documents): some 60 bytes of arrays each.
 TEXT_BYTES = 256 << 10
 
@@ -119,6 +134,55 @@ def prefix(row: np.ndarray, token: np.ndarray, n: np.ndarray, classes: np.ndarra
     return by[gather_ranges(np.cumsum(n) - n, np.where(n > 0, prefix_size(n, num, den), 0))]
 
 
+def most_differing(both, num: int, den: int):
+    """Most tokens in which two linked sets of ``both`` tokens together differ."""
+    return both * (den - num) // (den + num)
+
+
+def common_buckets(classes: np.ndarray) -> np.ndarray:
+    """Buckets of tokens so frequent that sharing one says little."""
+    mean = max(1.0, float(np.exp2(classes / 2.0).mean()))
+    return classes > 2 * (np.log2(mean) + COMMON)
+
+
+def run_keys(row: np.ndarray, token: np.ndarray, n: np.ndarray, classes: np.ndarray, common: np.ndarray, num: int,
+             den: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: what rows begin with under the orders of each size class; linked unequal rows share a key.
+
+    ``token`` ascends inside a row, so a part of the hash range is a run of it.
+    """
+    rows, keys, bounds = [], [], np.array(SIZES)
+    own, last = (np.searchsorted(bounds, x, side="right") - 1 for x in (n, den * n // num))
+    for k in range(int((last - own).max(initial=-1)) + 1):
+        level = np.minimum(own + k, len(bounds) - 2)
+        high = bounds[level + 1] - 1
+        differ = most_differing(2 * high, num, den)
+        takes = (n > 0) & (own + k <= last) & (differ > 0)       # linked sets that differ in nothing are equal
+        at = np.flatnonzero(takes[row])
+        if not len(at):
+            continue
+        r, t = row[at], token[at]
+        parts = (differ + 2 + differ // 16).astype(np.uint64)    # some more, as some runs are empty or common
+        part = (t >> np.uint64(32)) * parts[r] >> np.uint64(32)
+        new = np.ones(len(at), bool)
+        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        rare = np.logical_or.reduceat(~common[t >> np.uint64(64 - SKETCH_BITS)], first)
+        key, r = np.add.reduceat(mix(t + _M), first)[rare], r[first][rare]
+        rows.append(r)
+        keys.append(mix(key * _M + level[r].astype(np.uint64)))
+        # of two linked sets one with enough runs has one in common with the other, else both are here
+        few = takes & (np.bincount(r, minlength=len(n)) <= most_differing(n + high, num, den))
+        if few.any():
+            kept = np.flatnonzero(few[row])
+            at = kept[prefix(row[kept], token[kept], np.where(few, n, 0), classes, 0, num, den)]
+            rows.append(row[at])
+            keys.append(mix(token[at] * _M - level[row[at]].astype(np.uint64) - np.uint64(1)))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _texts(batch):
     raw, off = byte_view(batch.column("text"))
     for i, j in pieces(off, TEXT_BYTES):
@@ -202,13 +266,11 @@ def _fresh(seen: set[int], sid: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefixes(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
-    """``(sid, order0, order1, ...)``: prefix tokens of each set under every order; each set once per task.
-
-    The further orders only filter, so half of a token's bits do.
-    """
+def _keys(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame:
+    """``(token, sid)``: keys of each set's leading runs; each set once per task."""
     def run(batches):
         seen: set[int] = set()
+        common = common_buckets(sent.value)
         for batch in batches:
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for i, j, raw, off in _texts(batch):
@@ -216,16 +278,40 @@ def _prefixes(own: DataFrame, sent, words: int, num: int, den: int) -> DataFrame
                 n, sid = set_ids(row, token, j - i)
                 fresh = _fresh(seen, sid, known[i:j] & (n > 0))
                 keep = fresh[row]
+                at, key = run_keys(row[keep], token[keep], np.where(fresh, n, 0), sent.value, common, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[at])], ["token", "sid"])
+    return own.mapInArrow(run, "token long, sid long")
+
+
+def _prefixes(own: DataFrame, wanted, sent, words: int, num: int, den: int) -> DataFrame:
+    """``(sid, order0, order1, ...)``: prefix tokens under every order, of the rows whose id passes the filter.
+
+    The orders only filter, so half of a token's bits do.  Each set comes once per task.
+    """
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            passed = _passes(wanted.value, batch.column("key").to_numpy(zero_copy_only=False))
+            if not passed.any():
+                continue
+            for i, j, raw, off in _texts(batch.filter(pa.array(passed))):
+                row, token = shingles(raw, off, words)
+                n, sid = set_ids(row, token, j - i)
+                fresh = _fresh(seen, sid, n > 0)
+                keep = fresh[row]
                 row, token, n = row[keep], token[keep], np.where(fresh, n, 0)
                 cols = [pa.array(sid)]
                 for k in range(ORDERS):
                     at = prefix(row, token, n, sent.value, k, num, den)
-                    found = token[at].view(np.int64)
-                    cols.append(_lists(found if k == 0 else (found >> 32).astype(np.int32),
+                    cols.append(_lists((token[at].view(np.int64) >> 32).astype(np.int32),
                                        np.bincount(row[at], minlength=j - i)))
                 yield pa.RecordBatch.from_arrays(cols, ["sid", *_ORDERS]).filter(pa.array(fresh))
-    return own.mapInArrow(run, "sid long, " + ", ".join(
-        f"{c} array<{'int' if k else 'long'}>" for k, c in enumerate(_ORDERS)))
+    return _with_key(own).mapInArrow(run, "sid long, " + ", ".join(f"{c} array<int>" for c in _ORDERS))
+
+
+def _with_key(own: DataFrame) -> DataFrame:
+    """Texts of known ids with what the filters of ids look up."""
+    return own.where(F.col("doc_id").isNotNull()).select("text", F.xxhash64("doc_id").alias("key"))
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -266,18 +352,17 @@ def _bodies(own: DataFrame, wanted, words: int) -> DataFrame:
                 row, token = shingles(raw, off, words)
                 n, sid = set_ids(row, token, j - i)
                 yield pa.RecordBatch.from_arrays([pa.array(sid), _lists(token.view(np.int64), n)], ["sid", "tokens"])
-    rows = own.where(F.col("doc_id").isNotNull()).select("text", F.xxhash64("doc_id").alias("key"))
-    return rows.mapInArrow(run, "sid long, tokens array<long>")
+    return _with_key(own).mapInArrow(run, "sid long, tokens array<long>")
 
 
 def _filters(prefixes: DataFrame, wanted) -> DataFrame:
-    """Prefixes under the further orders of the sets whose id passes the filter: a scan, no shuffle of the others."""
+    """Prefixes of the sets whose id passes the filter: a scan, no shuffle of the others."""
     def run(batches):
         for batch in batches:
             passed = _passes(wanted.value, batch.column("key").to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array(passed)).drop_columns(["key"])
-    rows = prefixes.select("sid", *_ORDERS[1:], F.xxhash64("sid").alias("key"))
-    return rows.mapInArrow(run, "sid long, " + ", ".join(f"{c} array<int>" for c in _ORDERS[1:]))
+    rows = prefixes.select("sid", *_ORDERS, F.xxhash64("sid").alias("key"))
+    return rows.mapInArrow(run, prefixes.schema)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -307,15 +392,15 @@ def _set_ids_of(pairs: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of set ids that whole sketches allow and that share a prefix token under every further order."""
+    """Pairs ``(a, b)`` of set ids that whole sketches allow and that share a prefix token under every order."""
     near = staged(_with_both(pairs, sketches, "n", *_Q).where(
         _sizes_fit(F.col("x.n"), F.col("y.n"), num, den) & _parity_fits("x", "y", _Q, num, den)).select("a", "b"), "near_pairs")
     ids = staged(_set_ids_of(near), "near_ids")
     wanted = near.sparkSession.sparkContext.broadcast(id_filter(ids, "sid"))
     further = staged(_filters(prefixes, wanted).join(ids.hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]),
                      "needed_prefixes")
-    both = _with_both(near, further, *_ORDERS[1:])
-    for c in _ORDERS[1:]:
+    both = _with_both(near, further, *_ORDERS)
+    for c in _ORDERS:
         both = both.where(F.arrays_overlap(f"x.{c}", f"y.{c}"))
     return staged(both.select("a", "b"), "candidate_pairs")
 
@@ -353,11 +438,12 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     sets = staged(per_id.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "copies")).alias("m")).select(
         "sid", "m.rep", "m.copies"), "sets")
 
-    prefixes = staged(_prefixes(own, sent, words, num, den), "prefixes")
-    lists = staged(_token_lists(prefixes), "token_lists")
-    members = lists.select("sid").distinct()
-    sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(members.hint("merge"), "sid", "left_semi").groupBy(
-        "sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q))), "sketches")
+    lists = staged(_token_lists(_keys(own, sent, words, num, den)), "token_lists")
+    members = staged(lists.select("sid").distinct().join(sets.hint("merge"), "sid"), "members")
+    wanted = spark.sparkContext.broadcast(id_filter(members, "rep"))
+    prefixes = staged(_prefixes(own, wanted, sent, words, num, den), "prefixes")
+    sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(
+        members.select("sid").hint("merge"), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q))), "sketches")
 
     links, roots, first = None, None, None
     for turn in itertools.count():
@@ -387,11 +473,11 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     return linked.unionByName(alone)
 
 
-def _token_lists(prefixes: DataFrame) -> DataFrame:
-    """``(token, sid)`` of the first order's prefix tokens that were written more than once."""
-    tokens = prefixes.select(F.explode("order0").alias("token"), "sid")
-    several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    return tokens.join(several.select("token").hint("merge"), "token").distinct()
+def _token_lists(keys: DataFrame) -> DataFrame:
+    """``(token, sid)`` of the keys that several sets have: one exchange of the keys."""
+    group = Window.partitionBy("token")
+    rows = keys.select("token", "sid", F.min("sid").over(group).alias("lo"), F.max("sid").over(group).alias("hi"))
+    return rows.where("lo <> hi").select("token", "sid").distinct()
 
 
 def _rooted(table: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -413,11 +499,14 @@ def _with_nodes(lists: DataFrame, sketches: DataFrame, roots: DataFrame | None,
     folded = [functools.reduce(Column.bitwiseXOR, (F.col(q) for q in _Q[k::FOLDS])).alias(_F[k]) for k in range(FOLDS)]
     nodes = _rooted(sketches.select("sid", "n", *folded), roots)
     rows = staged(lists.join(nodes.hint("merge"), "sid"), "lists_by_component")
-    key = F.xxhash64("token", "sid", F.lit(turn))
-    heads = rows.groupBy("token").agg(F.max(key).alias("top"), F.count("*").alias("members"))
+    key, other = (F.xxhash64("token", "sid", F.lit(turn), F.lit(k)) for k in range(2))
+    heads = rows.groupBy("token").agg(
+        F.max(key).alias("top"), F.min(key).alias("low"), F.max(other).alias("high"), F.min(other).alias("least"),
+        F.count("*").alias("members"))
     # both sides of the later joins ask for ``top``, so that one exchange serves them
     return rows.join(heads.where(F.col("top").isNotNull() & (F.col("members") > 1)).hint("merge"), "token").withColumn(
-        "leads", key == F.col("top"))
+        "leads", (key == F.col("top")) | (F.col("members") > MANY) & (
+            (key == F.col("low")) | other.isin(F.col("high"), F.col("least")))).drop("low", "high", "least")
 
 
 def _apart(num: int, den: int) -> Column:
@@ -426,7 +515,7 @@ def _apart(num: int, den: int) -> Column:
 
 
 def _leader_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each list's leader with the members of other components."""
+    """Pairs of each list's leaders with the members of other components."""
     met = open_.alias("x").join(open_.where("leads").alias("y").hint("merge"),
                                 (F.col("x.token") == F.col("y.token")) & _apart(num, den))
     return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()

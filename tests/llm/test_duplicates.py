@@ -90,6 +90,51 @@ def test_prefix_filter_is_lossless():
             assert set(token[at[row[at] == 0]]) & set(token[at[row[at] == 1]])
 
 
+def hashed_sets(sets):
+    """Sets of tokens as ``run_keys`` takes them."""
+    n = np.array([len(x) for x in sets])
+    return np.repeat(np.arange(len(sets)), n), np.concatenate([np.sort(x) for x in sets]), n
+
+
+@pytest.mark.parametrize("num", [50, 80, 85, 95])
+@pytest.mark.parametrize("common", [0.0, 0.5, 1.0])
+def test_run_keys_are_lossless(num, common):
+    rng = np.random.default_rng(num)
+    classes = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    often = rng.random(len(classes)) < common
+    linked = 0
+    for size in [*range(1, 60), *rng.integers(60, 3000, 60)]:
+        x = rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
+        most = jaccard.most_differing(2 * size, num, 100)
+        gone, more = (int(rng.integers(0, most + 2)) for _ in range(2))
+        y = np.concatenate((x[gone:], rng.integers(0, 2**63, more).astype(np.uint64)))
+        both = len(np.intersect1d(x, y))
+        if not both or 100 * both < num * (len(x) + len(y) - both) or len(x) == len(y) == both:
+            continue
+        row, key = jaccard.run_keys(*hashed_sets([x, y]), classes, often, num, 100)
+        assert set(key[row == 0]) & set(key[row == 1])
+        linked += 1
+    assert linked > 10
+
+
+def test_long_unrelated_sets_share_few_keys(spark):
+    """Single prefix tokens pair most long texts that have some phrases in common, runs do not."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(7)) for k in range(1500)]
+    rows = [(d, " ".join(" ".join((rng.choice(phrases), *(f"d{d}w{k}x{i}" for i in range(8)))) for k in range(120)), "s")
+            for d in range(60)]
+    docs = frame(spark, rows, extra=False)
+    classes = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    lists = jaccard._token_lists(jaccard._keys(docs, spark.sparkContext.broadcast(classes), 4, 85, 100)).collect()
+    groups = {}
+    for r in lists:
+        groups.setdefault(r["token"], set()).add(r["sid"])
+    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(pairs) < 60 * 59 / 2 * 0.02
+    got = by_id(jaccard.near_duplicates(docs, 4, 85, 100))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute_components(rows, 4, 85, 100)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 400)] + [(7, 7)]
