@@ -18,7 +18,7 @@ Only then are the whole sets fetched and compared.  All filters are lossless.
 
 What is asked for is components, so equal sets are one class from the start, and pairs that cannot
 change a component are not made.  A round links the members of each token list whose members lie in
-several components to a leader of the list (long ones to four), other ones each round, and contracts;
+several components to a leader of the list (in later rounds to four, other ones each round) and contracts;
 rounds go on while they find a fair share of what the first one found.  At the end the pairs of a list
 that still lie in different components are made, long lists being cut into blocks, so no task meets
 one whole.  When the rounds end decides about work only.
@@ -61,8 +61,8 @@ FILTER_BITS = 1 << 29
 # Members per block of a long token list.
 BLOCK = 2048
 # Rounds of leaders go on while one finds more than this part of the first one's links.
-YIELD = 20
-# Lists of more members have four leaders a round instead of one.
+YIELD = 4
+# Lists of more members have four leaders, not one, after the first round.
 MANY = 8
 # Text bytes shingled at once (whole documents): some 60 bytes of arrays each.
 TEXT_BYTES = 256 << 10
@@ -445,14 +445,13 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     sketches = staged(profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(
         members.select("sid").hint("merge"), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", *_Q))), "sketches")
 
-    links, roots, first = None, None, None
+    roots, first = None, None
     for turn in itertools.count():
         pairs = _leader_pairs(_with_nodes(lists, sketches, roots, turn), num, den)
         new = verified(likely(pairs, sketches, prefixes, num, den), own, sets, words, num, den)
         found = new.count()
-        links = new if links is None else links.unionByName(new)
         if found or roots is None:
-            roots = staged(components(links), "roots")
+            roots = staged(components(_with_links(roots, new)), "roots")
             lists = staged(_still_open(lists, roots), "open_lists")
         first = found if first is None else first
         if found * YIELD <= first:
@@ -460,7 +459,7 @@ def _row_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     pairs = _rest_pairs(_with_nodes(lists, sketches, roots, turn + 1), num, den)
     rest = verified(likely(pairs, sketches, prefixes, num, den), own, sets, words, num, den)
     if rest.limit(1).count():
-        roots = staged(components(links.unionByName(rest)), "roots")
+        roots = staged(components(_with_links(roots, rest)), "roots")
 
     # smallest id per component, then every row by its set
     named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
@@ -487,6 +486,11 @@ def _rooted(table: DataFrame, roots: DataFrame | None) -> DataFrame:
         "root", F.coalesce("root", "sid"))
 
 
+def _with_links(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Edges of the components so far, one a node, and of the new links."""
+    return links if roots is None else roots.toDF("a", "b").select(*links.columns).unionByName(links)
+
+
 def _still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the lists whose members lie in several components."""
     rows = staged(_rooted(lists, roots), "rooted_lists")
@@ -503,10 +507,12 @@ def _with_nodes(lists: DataFrame, sketches: DataFrame, roots: DataFrame | None,
     heads = rows.groupBy("token").agg(
         F.max(key).alias("top"), F.min(key).alias("low"), F.max(other).alias("high"), F.min(other).alias("least"),
         F.count("*").alias("members"))
+    leads = key == F.col("top")
+    if turn:
+        leads |= (F.col("members") > MANY) & ((key == F.col("low")) | other.isin(F.col("high"), F.col("least")))
     # both sides of the later joins ask for ``top``, so that one exchange serves them
     return rows.join(heads.where(F.col("top").isNotNull() & (F.col("members") > 1)).hint("merge"), "token").withColumn(
-        "leads", (key == F.col("top")) | (F.col("members") > MANY) & (
-            (key == F.col("low")) | other.isin(F.col("high"), F.col("least")))).drop("low", "high", "least")
+        "leads", leads).drop("low", "high", "least")
 
 
 def _apart(num: int, den: int) -> Column:
